@@ -12,12 +12,13 @@ from aerolake.functions import fixed
 
 
 def pick(code: Column, table: Mapping, default: Column | None = None) -> Column:
-    """Lookup in a small fixed table, as one CASE expression (no join)."""
-    result = None
+    """Lookup in a small fixed table: a constant map, so no join and little generated code."""
+    entries = []
     for key, value in table.items():
-        hit = code == F.lit(key)
-        result = F.when(hit, F.lit(value)) if result is None else result.when(hit, F.lit(value))
-    return result.otherwise(default) if default is not None else result
+        entries += [F.lit(key).cast("bigint") if isinstance(key, int) else F.lit(key), F.lit(value)]
+    whole = all(isinstance(key, int) for key in table)
+    found = F.create_map(*entries)[code.cast("bigint") if whole else code]
+    return F.coalesce(found, default) if default is not None else found
 
 
 def code_name(code: Column, table: Mapping[int, str], prefix: str) -> Column:

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolake.operators.ordered import Ordered, null_safe_join
 
 
 def _numbered(df, keys, order, split) -> DataFrame:
-    rows = Ordered(df, keys, order, split).add(position="_n")
+    ordered = Ordered(df, keys, order, split)
+    rows = ordered.add(position="_n")
+    if not ordered.split:
+        return rows.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     return null_safe_join(rows, sizes, keys, "left")
 

@@ -28,7 +28,8 @@ def merge_windows(windows: DataFrame, keys: Sequence[str], start: str, end: str,
             .agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_group"))
 
 
-def _small(windows: DataFrame, keys: Sequence[str]) -> bool:
+def few_windows(windows: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether the windows are measured to be small enough for a broadcast."""
     total, widest = (windows.groupBy(*keys).count()
                      .agg(F.sum("count"), F.max("count")).first())
     return (total or 0) <= BROADCAST_WINDOWS and (widest or 0) <= BROADCAST_WINDOWS_PER_KEY
@@ -42,7 +43,7 @@ def within_windows(df: DataFrame, windows: DataFrame, keys: Sequence[str], ts: s
     Few windows: they are packed into one array per key and broadcast, and ``df`` is filtered
     without a shuffle. Otherwise the windows are merged and found by an as-of join.
     """
-    if _small(windows, keys) if small is None else small:
+    if few_windows(windows, keys) if small is None else small:
         packed = windows.groupBy(*keys).agg(
             F.collect_list(F.struct(F.col(start).alias("a"), F.col(end).alias("b"))).alias("_w"))
         joined = null_safe_join(df, F.broadcast(packed), keys, "inner")

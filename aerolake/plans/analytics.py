@@ -13,7 +13,7 @@ from aerolake.functions import fixed
 from aerolake.functions.rc import default_config, rc_config, stick_simple
 from aerolake.operators.asof import interp_clamped
 from aerolake.operators.decimate import decimate_even
-from aerolake.operators.intervals import within_windows
+from aerolake.operators.intervals import few_windows, within_windows
 from aerolake.operators.ordered import Ordered, null_safe_join
 from aerolake.operators.spectrum import dominant_peaks
 from aerolake.plans.health import anomalies, parameters
@@ -40,12 +40,13 @@ def armed_totals(windows: DataFrame) -> DataFrame:
         F.max_by("t_end", "idx").alias("last_end"))
 
 
-def in_windows(rows: DataFrame, windows: DataFrame, split: bool | None = None) -> DataFrame:
-    return within_windows(rows, windows, KEY, "t", split=split)
+def in_windows(rows: DataFrame, windows: DataFrame, split: bool | None = None,
+               few: bool | None = None) -> DataFrame:
+    return within_windows(rows, windows, KEY, "t", small=few, split=split)
 
 
 def attitude_errors(telemetry: DataFrame, windows: DataFrame, split: bool | None = None,
-                    gaps: bool | None = None) -> DataFrame:
+                    gaps: bool | None = None, few: bool | None = None) -> DataFrame:
     """(log_id, axis, seq, t, act, des) inside the armed windows.
 
     Demand and response come from one record, so they pair row by row; only where a demand is
@@ -56,7 +57,7 @@ def attitude_errors(telemetry: DataFrame, windows: DataFrame, split: bool | None
         F.struct(F.lit(axis).alias("axis"), number(act).alias("act"), number(des).alias("des"),
                  (any_number(act) & any_number(des)).alias("has"))
         for axis, (act, des) in fixed.ATTITUDE_COLUMNS.items()]))
-    rows = in_windows(plain(telemetry, "ATT").where(F.col("t").isNotNull()), windows, split)
+    rows = in_windows(plain(telemetry, "ATT").where(F.col("t").isNotNull()), windows, split, few)
     rows = rows.select(*KEY, "seq", "t", axes.alias("_a")).select(*KEY, "seq", "t", "_a.*")
     rows = rows.where("has").drop("has")
     incomplete = rows.where(F.col("act").isNotNull() & F.col("des").isNull())
@@ -87,13 +88,14 @@ def tracking(errors: DataFrame) -> DataFrame:
     return grouped.withColumn("score", score).drop("_tol")
 
 
-def stick_series(telemetry: DataFrame, windows: DataFrame, split: bool | None = None) -> DataFrame:
+def stick_series(telemetry: DataFrame, windows: DataFrame, split: bool | None = None,
+                 few: bool | None = None) -> DataFrame:
     """(log_id, axis, seq, t, stick) of roll, pitch and yaw, for axes with at least 3 readings."""
     config = rc_config(parameters(telemetry), KEY)
     logs = telemetry.select(*KEY).distinct()
     bare = null_safe_join(logs, config.select(*KEY).distinct(), KEY, "left_anti")
     config = config.unionByName(default_config(bare, KEY)).where(F.col("axis") != "throttle")
-    rows = in_windows(plain(telemetry, "RCIN").where(F.col("t").isNotNull()), windows, split)
+    rows = in_windows(plain(telemetry, "RCIN").where(F.col("t").isNotNull()), windows, split, few)
     rows = rows.select(*KEY, "seq", "t", "ints", "reals")
     rows = null_safe_join(rows, config, KEY, "inner")
     name = F.concat(F.lit("C"), F.col("channel").cast("string"))
@@ -141,14 +143,15 @@ def yaw_discipline(errors: DataFrame, sticks: DataFrame, logs: DataFrame) -> Dat
                        C.mean_of(*parts).alias("yaw_score"))
 
 
-def vertical_rates(telemetry: DataFrame, windows: DataFrame, profile: DataFrame, split: bool | None = None) -> DataFrame:
+def vertical_rates(telemetry: DataFrame, windows: DataFrame, profile: DataFrame,
+                   split: bool | None = None, few: bool | None = None) -> DataFrame:
     """(log_id, t, vs): climb rate inside the windows from the first usable source, else from height."""
     rank = (F.when((F.col("msg") == "BARO") & (F.col("instance") == 0), F.lit(0))
             .when((F.col("msg") == "BARO") & F.col("instance").isNull(), F.lit(1))
             .when((F.col("msg") == "CTUN") & F.col("instance").isNull(), F.lit(2)))
     rows = records(telemetry, "BARO", "CTUN").where(any_number("CRt") & F.col("t").isNotNull())
     rows = rows.select(*KEY, "seq", "t", rank.alias("rank"), number("CRt").alias("vs"))
-    rows = in_windows(rows.where(F.col("rank").isNotNull() & F.col("vs").isNotNull()), windows, split)
+    rows = in_windows(rows.where(F.col("rank").isNotNull() & F.col("vs").isNotNull()), windows, split, few)
     best = (rows.groupBy(*KEY, "rank").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
             .groupBy(*KEY).agg(F.min("rank").alias("rank")))
     direct = null_safe_join(rows, best, [*KEY, "rank"], "left_semi").select(*KEY, "t", "vs")
@@ -159,7 +162,8 @@ def vertical_rates(telemetry: DataFrame, windows: DataFrame, profile: DataFrame,
     return direct.unionByName(derived)
 
 
-def landing(telemetry: DataFrame, windows: DataFrame, totals: DataFrame, split: bool | None = None) -> DataFrame:
+def landing(telemetry: DataFrame, windows: DataFrame, totals: DataFrame, split: bool | None = None,
+            few: bool | None = None) -> DataFrame:
     """Touchdown after the last airborne sample, and the steepest descent just before it."""
     profile = decimate_even(altitude_series(telemetry), KEY, ["seq"], 100_000, split)
     sizes = profile.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 3)
@@ -168,7 +172,7 @@ def landing(telemetry: DataFrame, windows: DataFrame, totals: DataFrame, split:
     airborne = flown.where(F.col("agl") > 3.0).groupBy(*KEY).agg(F.max("seq").alias("_air"))
     after = null_safe_join(flown, airborne, KEY, "inner").where((F.col("seq") > F.col("_air")) & (F.col("agl") < 1.0))
     touch = after.groupBy(*KEY).agg(F.min_by("t", "seq").alias("touchdown_t"))
-    speeds = null_safe_join(vertical_rates(telemetry, windows, profile, split), touch, KEY, "inner")
+    speeds = null_safe_join(vertical_rates(telemetry, windows, profile, split, few), touch, KEY, "inner")
     near = speeds.where((F.col("t") >= F.col("touchdown_t") - 3.0) & (F.col("t") <= F.col("touchdown_t") + 0.25))
     worst = near.groupBy(*KEY).agg(F.abs(F.least(F.min("vs"), F.lit(0.0))).alias("touchdown_rate"))
     rows = null_safe_join(null_safe_join(totals.select(*KEY), touch, KEY, "left"), worst, KEY, "left")
@@ -195,14 +199,15 @@ def oscillations(errors: DataFrame, logs: DataFrame, long_series: bool | None =
         F.when(hit | (F.col("amp") >= 0.5), F.col("amp")).alias("amplitude_deg"), severity.alias("severity"))
 
 
-def saturation(telemetry: DataFrame, windows: DataFrame, logs: DataFrame, split: bool | None = None) -> DataFrame:
+def saturation(telemetry: DataFrame, windows: DataFrame, logs: DataFrame, split: bool | None = None,
+               few: bool | None = None) -> DataFrame:
     """Share of armed time at the limits: worst motor, worst controller output, throttle."""
     settings = parameters(telemetry).where(F.col("name").isin("MOT_PWM_MIN", "MOT_PWM_MAX"))
     limits = settings.groupBy(*KEY).agg(
         F.max(F.when(F.col("name") == "MOT_PWM_MIN", F.col("value"))).alias("_lo"),
         F.max(F.when(F.col("name") == "MOT_PWM_MAX", F.col("value"))).alias("_hi"))
     rows = records(telemetry, "RCOU", "RATE", "CTUN").where(F.col("instance").isNull() & F.col("t").isNotNull())
-    rows = null_safe_join(in_windows(rows, windows, split), limits, KEY, "left")
+    rows = null_safe_join(in_windows(rows, windows, split, few), limits, KEY, "left")
     real = F.coalesce((F.col("_lo") != 0) & (F.col("_hi") != 0) & (F.col("_hi") > F.col("_lo")), F.lit(False))
     low, high = F.when(real, F.col("_lo")).otherwise(1000.0), F.when(real, F.col("_hi")).otherwise(2000.0)
     margin = F.lit(fixed.PWM_MARGIN) * (high - low)
@@ -359,29 +364,31 @@ def quality(card: DataFrame, totals: DataFrame, oscillation: DataFrame, saturate
 class FlightAnalytics:
     """The report's parts as lazily built DataFrames over one telemetry table.
 
-    One action at the start measures whether some log needs the split plans. ``share`` keeps the
-    armed attitude errors, which five parts read, in executor memory and disk.
+    One action at the start measures whether some log needs the split plans. ``share`` persists
+    what several parts read: the armed attitude errors, and the part tables themselves, which
+    have a few rows per log; Spark recomputes them from their lineage when an executor is lost.
     """
 
     def __init__(self, telemetry: DataFrame, split: bool | None = None, share: bool = True):
+        keep = (lambda frame: frame.persist()) if share else (lambda frame: frame)
         self.telemetry = telemetry
         self.split = fleet_split(telemetry) if split is None else split
-        self.span = log_span(telemetry)
-        self.logs = telemetry.select(*KEY).distinct()
-        self.windows = armed_windows(telemetry, self.span, self.split)
-        self.windows = self.windows.persist() if share else self.windows
-        self.totals = armed_totals(self.windows)
-        errors = attitude_errors(telemetry, self.windows, self.split)
-        self.errors = errors.persist() if share else errors
-        self.sticks = stick_series(telemetry, self.windows, self.split)
-        self.tracking = tracking(self.errors)
-        self.smoothness = smoothness(self.sticks, self.totals, self.split)
-        self.yaw = yaw_discipline(self.errors, self.sticks, self.logs)
-        self.landing = landing(telemetry, self.windows, self.totals, self.split)
-        self.oscillations = oscillations(self.errors, self.logs)
-        self.saturation = saturation(telemetry, self.windows, self.logs, self.split)
+        self.span = keep(log_span(telemetry))
+        self.logs = self.span.select(*KEY)
+        self.windows = keep(armed_windows(telemetry, self.span, self.split))
+        self.few = few_windows(self.windows, KEY)
+        self.totals = keep(armed_totals(self.windows))
+        self.errors = keep(attitude_errors(telemetry, self.windows, self.split, few=self.few))
+        self.sticks = keep(stick_series(telemetry, self.windows, self.split, few=self.few))
+        self.tracking = keep(tracking(self.errors))
+        self.smoothness = keep(smoothness(self.sticks, self.totals, self.split))
+        self.yaw = keep(yaw_discipline(self.errors, self.sticks, self.logs))
+        self.landing = keep(landing(telemetry, self.windows, self.totals, self.split, few=self.few))
+        self.oscillations = keep(oscillations(self.errors, self.logs))
+        self.saturation = keep(saturation(telemetry, self.windows, self.logs, self.split, few=self.few))
         self.anomalies = anomalies(telemetry, self.span)
-        self.findings = findings(self.oscillations, self.tracking, self.saturation, self.landing, self.yaw, self.anomalies)
+        self.findings = keep(findings(self.oscillations, self.tracking, self.saturation, self.landing,
+                                      self.yaw, self.anomalies))
         self.scorecard = scorecard(self.logs, self.tracking, self.smoothness, self.yaw, self.landing)
         self.quality = quality(self.scorecard, self.totals, self.oscillations, self.saturation, self.findings)
 

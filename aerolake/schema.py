@@ -38,12 +38,9 @@ def has_text(name: str) -> Column:
 
 
 def number(*names: str) -> Column:
-    """The first of several spellings that the record has, as a double."""
-    result = F.lit(None).cast("double")
-    for name in reversed(names):
-        value = F.coalesce(F.col("reals")[name], F.col("ints")[name].cast("double"))
-        result = F.when(has_number(name), value).otherwise(result)
-    return result
+    """The reading under the first of several spellings, as a double."""
+    readings = [v for n in names for v in (F.col("reals")[n], F.col("ints")[n].cast("double"))]
+    return F.coalesce(*readings)
 
 
 def any_number(*names: str) -> Column:
@@ -51,10 +48,7 @@ def any_number(*names: str) -> Column:
 
 
 def text(*names: str) -> Column:
-    result = F.lit(None).cast("string")
-    for name in reversed(names):
-        result = F.when(has_text(name), F.col("texts")[name]).otherwise(result)
-    return result
+    return F.coalesce(*[F.col("texts")[n] for n in names])
 
 
 def records(telemetry: DataFrame, *msgs: str) -> DataFrame:
