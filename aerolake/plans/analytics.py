@@ -18,6 +18,7 @@ from aerolake.operators.ordered import Ordered, null_safe_join
 from aerolake.operators.spectrum import dominant_peaks
 from aerolake.plans.health import anomalies, parameters
 from aerolake.plans.timeline import altitude_series, arm_regions, fleet_split, log_span
+from aerolake.session import cut
 from aerolake.schema import KEY, any_number, number, plain, records
 
 AXIS = [*KEY, "axis"]
@@ -364,13 +365,15 @@ def quality(card: DataFrame, totals: DataFrame, oscillation: DataFrame, saturate
 class FlightAnalytics:
     """The report's parts as lazily built DataFrames over one telemetry table.
 
-    One action at the start measures whether some log needs the split plans. ``share`` persists
-    what several parts read: the armed attitude errors, and the part tables themselves, which
-    have a few rows per log; Spark recomputes them from their lineage when an executor is lost.
+    One action at the start measures whether some log needs the split plans. ``share``
+    writes the part tables, a few rows per log each, to the checkpoint folder, because the later
+    parts read them several times and their plans would otherwise be repeated inside each other;
+    the armed attitude errors and sticks are persisted.
     """
 
     def __init__(self, telemetry: DataFrame, split: bool | None = None, share: bool = True):
-        keep = (lambda frame: frame.persist()) if share else (lambda frame: frame)
+        keep = cut if share else (lambda frame: frame)
+        hold = (lambda frame: frame.persist()) if share else (lambda frame: frame)
         self.telemetry = telemetry
         self.split = fleet_split(telemetry) if split is None else split
         self.span = keep(log_span(telemetry))
@@ -378,18 +381,18 @@ class FlightAnalytics:
         self.windows = keep(armed_windows(telemetry, self.span, self.split))
         self.few = few_windows(self.windows, KEY)
         self.totals = keep(armed_totals(self.windows))
-        self.errors = keep(attitude_errors(telemetry, self.windows, self.split, few=self.few))
-        self.sticks = keep(stick_series(telemetry, self.windows, self.split, few=self.few))
+        self.errors = hold(attitude_errors(telemetry, self.windows, self.split, few=self.few))
+        self.sticks = hold(stick_series(telemetry, self.windows, self.split, few=self.few))
         self.tracking = keep(tracking(self.errors))
         self.smoothness = keep(smoothness(self.sticks, self.totals, self.split))
         self.yaw = keep(yaw_discipline(self.errors, self.sticks, self.logs))
         self.landing = keep(landing(telemetry, self.windows, self.totals, self.split, few=self.few))
         self.oscillations = keep(oscillations(self.errors, self.logs))
         self.saturation = keep(saturation(telemetry, self.windows, self.logs, self.split, few=self.few))
-        self.anomalies = anomalies(telemetry, self.span)
+        self.anomalies = keep(anomalies(telemetry, self.span))
         self.findings = keep(findings(self.oscillations, self.tracking, self.saturation, self.landing,
                                       self.yaw, self.anomalies))
-        self.scorecard = scorecard(self.logs, self.tracking, self.smoothness, self.yaw, self.landing)
+        self.scorecard = keep(scorecard(self.logs, self.tracking, self.smoothness, self.yaw, self.landing))
         self.quality = quality(self.scorecard, self.totals, self.oscillations, self.saturation, self.findings)
 
     def report(self) -> DataFrame:

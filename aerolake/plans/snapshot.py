@@ -19,6 +19,7 @@ from aerolake.plans.events import flight_events, with_event_position
 from aerolake.plans.health import parameters
 from aerolake.plans.timeline import arm_regions, log_span, mode_segments, phases
 from aerolake.plans.trajectory import best_trajectory
+from aerolake.session import cut
 from aerolake.schema import KEY, has_number, number, records
 
 # (message, instance, columns) read as continuous signals.
@@ -167,7 +168,7 @@ def packed_config(config: DataFrame) -> DataFrame:
 def instrument_panel(telemetry: DataFrame, cursors: DataFrame, split: bool | None = None) -> DataFrame:
     """Cursors plus their value map, RC settings, present messages and the height's slope readings."""
     split = needs_split(telemetry, ["log_id", "msg"]) if split is None else split
-    config = axis_config(telemetry)
+    config = cut(axis_config(telemetry))
     samples = labelled_samples(telemetry, CONTINUOUS).unionByName(stick_samples(telemetry, config))
     sticks = [f"{side}_{axis}" for _, side in STICKS for axis in fixed.RC_AXES]
     # The two slope readings are further cursors of the same join, half a second to each side.
@@ -254,21 +255,22 @@ def snapshots(telemetry: DataFrame, cursors: DataFrame, verification: DataFrame
               split: bool | None = None) -> DataFrame:
     """One investigation snapshot per cursor (log_id, cursor, t)."""
     split = needs_split(telemetry, ["log_id", "msg"]) if split is None else split
-    span = log_span(telemetry)
-    regions = arm_regions(telemetry, span, split)
-    modes = mode_segments(telemetry, span, split)
+    span = cut(log_span(telemetry))
+    regions = cut(arm_regions(telemetry, span, split))
+    modes = cut(mode_segments(telemetry, span, split))
+    stages = cut(phases(telemetry, regions, modes, span, split))
     cursors = cursors.select(*KEY, "cursor", F.col("t").cast("double").alias("t"))
     events = with_event_position(flight_events(telemetry))
     rows = nearest_event(cursors, events, KEY, "t", "ord", ["severity", "type", "message"], out="event", within=5.0, ties="last", split=split)
     rows = rows.withColumn("event", F.col("event").dropFields("seq"))
     rows = interval_lookup(rows, regions, KEY, "t", ["idx"], "idx", out="_flight", split=split)
     rows = interval_lookup(rows, modes, KEY, "t", ["mode"], "idx", out="_mode", split=split)
-    rows = interval_lookup(rows, phases(telemetry, regions, modes, span, split), KEY, "t", ["kind"], "idx", out="_phase", split=split)
+    rows = interval_lookup(rows, stages, KEY, "t", ["kind"], "idx", out="_phase", split=split)
     totals = regions.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_total"))
     rows = null_safe_join(rows, totals, KEY, "left")
     rows = rows.select(*KEY, "cursor", "t", "event", F.col("_flight.idx").alias("flight_index"),
                        F.coalesce("_total", F.lit(0)).alias("flight_total"), F.col("_phase.kind").alias("phase"), F.col("_mode.mode").alias("mode"))
-    rows = instrument_panel(telemetry, rows, split)
+    rows = cut(instrument_panel(telemetry, cut(rows), split))
     rows = rows.withColumns({
         **control_columns(), "ekf": estimator_status(), "position_divergence": position_divergence(), "_climb": climb_rate(),
         "_gps": first_present(("GPS[0]", "GPS")), "altitude_source": _altitude_label()})

@@ -15,6 +15,7 @@ from aerolake.operators.ordered import Ordered, needs_split, null_safe_join
 from aerolake.operators.resample import resample
 from aerolake.operators.segments import change_segments, merge_slivers, paired_regions, state_regions
 from aerolake.plans.events import flight_events, with_event_position
+from aerolake.session import cut
 from aerolake.schema import KEY, Source, any_number, first_source, has_number, number, plain
 
 ALTITUDE_SOURCES = (
@@ -88,7 +89,8 @@ def flight_windows(telemetry: DataFrame, regions: DataFrame | None = None,
                    altitude: DataFrame | None = None, split: bool | None = None) -> DataFrame:
     """One row per armed region: times, peak height, event count, distinct modes."""
     split = fleet_split(telemetry) if split is None else split
-    regions = arm_regions(telemetry, split=split) if regions is None else regions
+    # The regions are few and read several times below: cut once instead of planned repeatedly.
+    regions = cut(arm_regions(telemetry, split=split) if regions is None else regions)
     events = flight_events(telemetry) if events is None else events
     modes = mode_segments(telemetry, split=split) if modes is None else modes
     altitude = altitude_series(telemetry) if altitude is None else altitude
@@ -148,7 +150,8 @@ def phases(telemetry: DataFrame, regions: DataFrame | None = None, modes: DataFr
     """(log_id, idx, kind, t_start, t_end): contiguous flight phases of every log."""
     split = fleet_split(telemetry) if split is None else split
     span = log_span(telemetry) if span is None else span
-    regions = arm_regions(telemetry, span, split) if regions is None else regions
+    span = cut(span)
+    regions = cut(arm_regions(telemetry, span, split) if regions is None else regions)
     modes = mode_segments(telemetry, span, split) if modes is None else modes
     altitude = altitude_series(telemetry)
     regions = regions.select(*KEY, F.col("idx").alias("region"), "t_start", "t_end")
@@ -157,9 +160,9 @@ def phases(telemetry: DataFrame, regions: DataFrame | None = None, modes: DataFr
     flown = (F.coalesce("_alt_rows", F.lit(0)) >= 2) & (F.col("t_end") > F.col("t_start"))
     blank = sized.where(~flown).select(*KEY, "region", F.lit(0).cast("bigint").alias("idx"),
                                        F.lit("FLIGHT").alias("kind"), "t_start", "t_end")
-    flown_regions = sized.where(flown).drop("_alt_rows")
+    flown_regions = cut(sized.where(flown).drop("_alt_rows"))
     keys = [*KEY, "region"]
-    runs = _rate_states(flown_regions, altitude, split)
+    runs = cut(_rate_states(flown_regions, altitude, split))
 
     # Ground contact at the region's two ends renames its first climb and its last descent.
     edges = flown_regions.select(*keys, F.explode(F.array("t_start", "t_end")).alias("t"), "t_start")
@@ -201,4 +204,4 @@ def phases(telemetry: DataFrame, regions: DataFrame | None = None, modes: DataFr
         *KEY, F.lit(0).cast("bigint").alias("region"), F.lit(0).cast("bigint").alias("idx"),
         F.lit("FLIGHT").alias("kind"), F.col("t_first").alias("t_start"), F.col("t_last").alias("t_end"))
     every = inside.unionByName(pre).unionByName(post).unionByName(whole)
-    return merge_slivers(every, KEY, ["region", "idx"], shortest=fixed.MIN_PHASE_S, split=split)
+    return merge_slivers(cut(every), KEY, ["region", "idx"], shortest=fixed.MIN_PHASE_S, split=split)

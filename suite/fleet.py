@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aerolake.operators.setops import union_all
 from suite.registry import table
 
 MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)"
@@ -83,19 +84,22 @@ def _map(fields: dict, kind: str) -> str:
 
 
 def telemetry(spark: SparkSession, folder: str, *only: str) -> DataFrame:
-    """Telemetry rows; ``only`` names the messages wanted, so that no others are made."""
-    options = []
+    """Telemetry rows, one branch per message.
+
+    The message name is a constant of its branch, so a filter on ``msg`` removes all other
+    branches and the branch's own condition reaches the scan, as on a table partitioned by
+    ``msg``. ``only`` names the messages wanted.
+    """
+    rows = events(spark, folder)
+    branches = []
     for msg, condition, instance, ints, reals, texts in MESSAGES:
         if only and msg not in only:
             continue
-        inst = "CAST(NULL AS INT)" if instance is None else str(instance)
-        options.append(
-            f"CASE WHEN {condition} THEN named_struct('msg', '{msg}', 'instance', {inst}, "
-            f"'ints', {_map(ints, 'bigint')}, 'reals', {_map(reals, 'double')}, "
-            f"'texts', {_map(texts, 'string')}) END")
-    made = F.expr(f"array_compact(array({', '.join(options)}))")
-    rows = events(spark, folder).select("log_id", "seq", "t", F.explode(made).alias("_m"))
-    return rows.select("log_id", "_m.msg", "_m.instance", "seq", "t", "_m.ints", "_m.reals", "_m.texts")
+        inst = "CAST(NULL AS INT)" if instance is None else f"CAST({instance} AS INT)"
+        branches.append(rows.where(condition).selectExpr(
+            "log_id", f"'{msg}' AS msg", f"{inst} AS instance", "seq", "t",
+            f"{_map(ints, 'bigint')} AS ints", f"{_map(reals, 'double')} AS reals", f"{_map(texts, 'string')} AS texts"))
+    return union_all(*branches)
 
 
 def span(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,6 +8,7 @@ from aerolake.functions import fixed
 from aerolake.plans import analytics as A
 from aerolake.plans import snapshot as S
 from aerolake.plans import timeline
+from aerolake.session import cut
 from suite.fleet import EV, EVENTS, MODES, REGIONS, SPAN, events, of_type, span, telemetry
 from suite.registry import query
 
@@ -29,7 +30,12 @@ tracks AS (SELECT *, greatest(0.0, least(100.0, 100.0 * (1.0 - rms_deg / (3.0 *
 
 def _windows(spark, folder):
     rows = telemetry(spark, folder, "ARM", "EV")
-    return A.armed_windows(rows, span(spark, folder), timeline.fleet_split(rows))
+    return cut(A.armed_windows(rows, span(spark, folder), timeline.fleet_split(rows)))
+
+
+def _lake(spark, folder, *messages):
+    """The derived telemetry written once, as a fleet's telemetry is; the reports read it many times."""
+    return cut(telemetry(spark, folder, *messages))
 
 
 def _rounded(df, digits, *columns):
@@ -139,10 +145,11 @@ cards AS (SELECT *, list_avg(list_filter([tracking_score, smoothness_score, yaw_
 @query("scorecard", f"""WITH {CARD} SELECT log_id, round(tracking_score, 6) AS tracking_score, round(smoothness_score, 6) AS smoothness_score, round(yaw_score, 6) AS yaw_score, landing_score, landing_class,
   round(pilot_score, 6) AS pilot_score, CASE WHEN pilot_score >= 90 THEN 'A' WHEN pilot_score >= 80 THEN 'B' WHEN pilot_score >= 70 THEN 'C' WHEN pilot_score >= 60 THEN 'D' WHEN pilot_score IS NOT NULL THEN 'F' END AS pilot_grade FROM cards""")
 def scorecard(spark, folder):
-    rows, windows = telemetry(spark, folder, "ATT", "RCIN", "PARM", "POS", "BARO", "CTUN"), _windows(spark, folder).persist()
-    totals, logs, split = A.armed_totals(windows), span(spark, folder).select("log_id"), timeline.fleet_split(rows)
+    rows, windows = telemetry(spark, folder, "ATT", "RCIN", "PARM", "POS", "BARO", "CTUN"), _windows(spark, folder)
+    totals, logs, split = cut(A.armed_totals(windows)), cut(span(spark, folder)).select("log_id"), timeline.fleet_split(rows)
     errors, sticks = A.attitude_errors(rows, windows, split), A.stick_series(rows, windows, split)
-    card = A.scorecard(logs, A.tracking(errors), A.smoothness(sticks, totals, split), A.yaw_discipline(errors, sticks, logs), A.landing(rows, windows, totals, split))
+    parts = A.tracking(errors), A.smoothness(sticks, totals, split), A.yaw_discipline(errors, sticks, logs), A.landing(rows, windows, totals, split)
+    card = A.scorecard(logs, *[cut(part) for part in parts])
     return _rounded(card, 6, "tracking_score", "smoothness_score", "yaw_score", "pilot_score")
 
 
@@ -151,12 +158,12 @@ REPORT_MESSAGES = ("ARM", "EV", "ATT", "RCIN", "PARM", "POS", "BARO", "CTUN", "R
 
 @query("flight_report")
 def flight_report(spark, folder):
-    return A.FlightAnalytics(telemetry(spark, folder, *REPORT_MESSAGES)).report()
+    return A.FlightAnalytics(_lake(spark, folder, *REPORT_MESSAGES)).report()
 
 
 @query("top_findings")
 def top_findings(spark, folder):
-    return A.top_findings(A.FlightAnalytics(telemetry(spark, folder, *REPORT_MESSAGES)).findings, 20)
+    return A.top_findings(A.FlightAnalytics(_lake(spark, folder, *REPORT_MESSAGES)).findings, 20)
 
 
 PHASES = f"""{REGIONS}, {MODES}, agl AS (SELECT log_id, t, value % 30 AS v FROM ev WHERE event_type = 'click'),
@@ -256,7 +263,7 @@ def control_matrix(spark, folder):
 @query("snapshots")
 def snapshots(spark, folder):
     marks = of_type(events(spark, folder), "error").select("log_id", F.col("seq").alias("cursor"), "t")
-    return S.snapshots(telemetry(spark, folder), marks)
+    return S.snapshots(_lake(spark, folder), marks)
 
 
 @query("telemetry_rows")
