@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +54,22 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="aerolake-checkpoints-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession, *packages: str) -> None:
+    """Give the executors' Python workers this package (and others beside it), once per application."""
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parents[1]
+    for package in ("aerolake", *packages):
+        mark = f"{context.applicationId}/{package}"
+        if mark in _SHIPPED:
+            continue
+        archive = os.path.join(tempfile.mkdtemp(prefix="aerolake-code-"), f"{package}.zip")
+        with zipfile.ZipFile(archive, "w") as bundle:
+            for source in sorted((root / package).rglob("*.py")):
+                bundle.write(source, source.relative_to(root))
+        context.addPyFile(archive)
+        _SHIPPED.add(mark)
