@@ -60,30 +60,36 @@ def rolling_stats(signal: DataFrame, by: list[str], value: str, width: str = "10
     return stats.select(*by, F.col("w.start").alias("w_start"), F.col("w.end").alias("w_end"), "v_min", "v_max", "v_mean", "v_std", "n")
 
 
-class _ArmTracker(StatefulProcessor):
-    """State per log: the start of the open region, if any."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._open = handle.getValueState("open", "t_start double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        start = self._open.get()[0] if self._open.exists() else None
-        closed = []
-        for row in sorted((r for frame in rows for r in frame.itertuples(index=False)), key=lambda r: (r.t, r.seq)):
-            if row.armed and start is None:
-                start = row.t
-            elif not row.armed and start is not None:
-                closed.append((key[0], start, row.t))
-                start = None
-        if start is None:
-            self._open.clear()
-        else:
-            self._open.update((float(start),))
-        if closed:
-            yield pd.DataFrame(closed, columns=["log_id", "t_start", "t_end"])
-
-    def close(self) -> None:
-        pass
+def _arm_tracker() -> StatefulProcessor:
+    # Defined inside a function so that it travels to the workers by value.
+    import pandas as pd
+
+    class ArmTracker(StatefulProcessor):
+        """State per log: the start of the open region, if any."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self._open = handle.getValueState("open", "t_start double")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            start = self._open.get()[0] if self._open.exists() else None
+            closed = []
+            for row in sorted((r for frame in rows for r in frame.itertuples(index=False)), key=lambda r: (r.t, r.seq)):
+                if row.armed and start is None:
+                    start = row.t
+                elif not row.armed and start is not None:
+                    closed.append((key[0], start, row.t))
+                    start = None
+            if start is None:
+                self._open.clear()
+            else:
+                self._open.update((float(start),))
+            if closed:
+                yield pd.DataFrame(closed, columns=["log_id", "t_start", "t_end"])
+
+        def close(self) -> None:
+            pass
+
+    return ArmTracker()
 
 
 def live_arm_regions(telemetry: DataFrame) -> DataFrame:
@@ -91,5 +97,5 @@ def live_arm_regions(telemetry: DataFrame) -> DataFrame:
     rows = telemetry.where((F.col("msg") == "ARM") & any_number(*fixed.ARM_STATE))
     rows = rows.select("log_id", "seq", "t", (number(*fixed.ARM_STATE).cast("bigint") == 1).alias("armed"))
     return rows.groupBy("log_id").transformWithStateInPandas(
-        statefulProcessor=_ArmTracker(), outputStructType="log_id string, t_start double, t_end double",
+        statefulProcessor=_arm_tracker(), outputStructType="log_id string, t_start double, t_end double",
         outputMode="Append", timeMode="None")
