@@ -14,7 +14,7 @@ from aerolake.plans.trajectory import best_trajectory
 from aerolake.session import cut
 from aerolake.sources import aviation, integrity
 from aerolake.streaming import landing
-from suite.fleet import EV, SPAN, events, of_type, span, telemetry
+from suite.fleet import EV, SPAN, events, lake, of_type, span, telemetry
 from suite.flights import ANOMALIES, TRACK, TRACK_MESSAGES
 from suite.logs import log_files
 from suite.registry import query, table
@@ -63,7 +63,7 @@ def geo_facts(spark, folder):
     places = _near_home(spark, folder)
     strips = places.select(F.col("ident").alias("airport_ident"), F.lit("10/28").alias("designator"), F.col("lat").alias("le_lat"), F.col("lon").alias("le_lon"),
                            F.col("lat").alias("he_lat"), F.col("lon").alias("he_lon"), "row")
-    found = aviation.geo_facts(cut(best_trajectory(telemetry(spark, folder, *TRACK_MESSAGES))), places, strips)
+    found = aviation.geo_facts(cut(best_trajectory(lake(spark, folder, *TRACK_MESSAGES))), places, strips)
     return found.select("log_id", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), "ident", F.round("airport_m", 2).alias("airport_m"),
                         "airport_ident", F.round("runway_m", 2).alias("runway_m"))
 

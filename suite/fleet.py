@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolake.operators.setops import union_all
+from aerolake.session import cut
 from suite.registry import table
 
 MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)"
@@ -162,3 +163,8 @@ EVENTS = """events_all AS (
       FROM ev WHERE event_type IN ('signup', 'purchase') AND user_id % 7 <> 0
   UNION ALL SELECT log_id, seq, t, 'INFO', 'MODE', 'Mode: ' || """ + MODE_CASE.replace("CASE m", "CASE k % 22").replace("|| m", "|| (k % 22)") + """, 4
       FROM ev WHERE event_type = 'view')"""
+
+
+def lake(spark: SparkSession, folder: str, *messages: str) -> DataFrame:
+    """The derived telemetry written once, as a fleet's telemetry is, for plans that read it often."""
+    return cut(telemetry(spark, folder, *messages))

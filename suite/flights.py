@@ -8,7 +8,7 @@ from aerolake.operators import intervals, stats
 from aerolake.plans import events as E
 from aerolake.plans import health as H
 from aerolake.plans import metrics, timeline, trajectory
-from suite.fleet import EV, EVENTS, MODES, REGIONS, SPAN, events, span, telemetry
+from suite.fleet import EV, EVENTS, MODES, REGIONS, SPAN, events, lake, span, telemetry
 from suite.registry import query
 
 KEY = ["log_id"]
@@ -75,7 +75,7 @@ FLIGHT_MESSAGES = (*E.EVENT_MESSAGES, "POS")
 
 
 def _flights(spark, folder):
-    rows, spans = telemetry(spark, folder, *FLIGHT_MESSAGES), span(spark, folder)
+    rows, spans = lake(spark, folder, *FLIGHT_MESSAGES), span(spark, folder)
     split = timeline.fleet_split(rows)
     found = E.flight_events(rows)
     regions = timeline.arm_regions(rows, spans, split)
@@ -129,7 +129,7 @@ TRACK_MESSAGES = ("GPS", "POS", "BARO")
 
 
 def _track(spark, folder):
-    return trajectory.best_trajectory(telemetry(spark, folder, *TRACK_MESSAGES))
+    return trajectory.best_trajectory(lake(spark, folder, *TRACK_MESSAGES))
 
 
 @query("best_trajectory", f"""WITH {TRACK} SELECT log_id, seq, t, round(east, 5) AS east, round(north, 5) AS north, round(up, 6) AS up,
@@ -194,7 +194,7 @@ def scalar_metrics(spark, folder):
 
 @query("flight_metrics")
 def flight_metrics(spark, folder):
-    return metrics.flight_metrics(telemetry(spark, folder))
+    return metrics.flight_metrics(lake(spark, folder))
 
 
 @query("parameters", f"""WITH {EV}, p AS (SELECT log_id, seq, CASE k % 8 WHEN 0 THEN 'RCMAP_ROLL' WHEN 1 THEN 'RC1_MIN' WHEN 2 THEN 'RC1_MAX' WHEN 3 THEN 'RC1_TRIM'

@@ -9,7 +9,7 @@ from aerolake.plans import analytics as A
 from aerolake.plans import snapshot as S
 from aerolake.plans import timeline
 from aerolake.session import cut
-from suite.fleet import EV, EVENTS, MODES, REGIONS, SPAN, events, of_type, span, telemetry
+from suite.fleet import EV, EVENTS, MODES, REGIONS, SPAN, events, lake, of_type, span, telemetry
 from suite.registry import query
 
 KEY = ["log_id"]
@@ -33,11 +33,6 @@ def _windows(spark, folder):
     return cut(A.armed_windows(rows, span(spark, folder), timeline.fleet_split(rows)))
 
 
-def _lake(spark, folder, *messages):
-    """The derived telemetry written once, as a fleet's telemetry is; the reports read it many times."""
-    return cut(telemetry(spark, folder, *messages))
-
-
 def _rounded(df, digits, *columns):
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
@@ -106,7 +101,7 @@ lands AS (SELECT t.log_id, td.t IS NOT NULL AS landed, td.t AS touchdown_t, rate
 @query("landing", f"WITH {WINDOWS}, {LANDING} SELECT log_id, landed, touchdown_t, round(touchdown_rate, 6) AS touchdown_rate, landing_class, landing_score FROM lands")
 def landing(spark, folder):
     windows = _windows(spark, folder)
-    found = A.landing(telemetry(spark, folder, "POS", "BARO", "CTUN"), windows, A.armed_totals(windows))
+    found = A.landing(lake(spark, folder, "POS", "BARO", "CTUN"), windows, A.armed_totals(windows))
     return _rounded(found, 6, "touchdown_rate")
 
 
@@ -125,7 +120,7 @@ sats AS (SELECT log_id, motor_pct, output_pct, throttle_pct, CASE WHEN w >= 0.2:
 
 @query("saturation", f"WITH {WINDOWS}, {SATURATION} SELECT log_id, round(motor_pct, 6) AS motor_pct, round(output_pct, 6) AS output_pct, round(throttle_pct, 6) AS throttle_pct, saturation_severity, round(saturation_score, 6) AS saturation_score FROM sats")
 def saturation(spark, folder):
-    rows = telemetry(spark, folder, "RCOU", "RATE", "CTUN", "PARM")
+    rows = lake(spark, folder, "RCOU", "RATE", "CTUN", "PARM")
     found = A.saturation(rows, _windows(spark, folder), span(spark, folder).select("log_id"))
     return _rounded(found, 6, "motor_pct", "output_pct", "throttle_pct", "saturation_score")
 
@@ -145,7 +140,7 @@ cards AS (SELECT *, list_avg(list_filter([tracking_score, smoothness_score, yaw_
 @query("scorecard", f"""WITH {CARD} SELECT log_id, round(tracking_score, 6) AS tracking_score, round(smoothness_score, 6) AS smoothness_score, round(yaw_score, 6) AS yaw_score, landing_score, landing_class,
   round(pilot_score, 6) AS pilot_score, CASE WHEN pilot_score >= 90 THEN 'A' WHEN pilot_score >= 80 THEN 'B' WHEN pilot_score >= 70 THEN 'C' WHEN pilot_score >= 60 THEN 'D' WHEN pilot_score IS NOT NULL THEN 'F' END AS pilot_grade FROM cards""")
 def scorecard(spark, folder):
-    rows, windows = telemetry(spark, folder, "ATT", "RCIN", "PARM", "POS", "BARO", "CTUN"), _windows(spark, folder)
+    rows, windows = lake(spark, folder, "ATT", "RCIN", "PARM", "POS", "BARO", "CTUN"), _windows(spark, folder)
     totals, logs, split = cut(A.armed_totals(windows)), cut(span(spark, folder)).select("log_id"), timeline.fleet_split(rows)
     errors, sticks = A.attitude_errors(rows, windows, split), A.stick_series(rows, windows, split)
     parts = A.tracking(errors), A.smoothness(sticks, totals, split), A.yaw_discipline(errors, sticks, logs), A.landing(rows, windows, totals, split)
@@ -158,12 +153,12 @@ REPORT_MESSAGES = ("ARM", "EV", "ATT", "RCIN", "PARM", "POS", "BARO", "CTUN", "R
 
 @query("flight_report")
 def flight_report(spark, folder):
-    return A.FlightAnalytics(_lake(spark, folder, *REPORT_MESSAGES)).report()
+    return A.FlightAnalytics(lake(spark, folder, *REPORT_MESSAGES)).report()
 
 
 @query("top_findings")
 def top_findings(spark, folder):
-    return A.top_findings(A.FlightAnalytics(_lake(spark, folder, *REPORT_MESSAGES)).findings, 20)
+    return A.top_findings(A.FlightAnalytics(lake(spark, folder, *REPORT_MESSAGES)).findings, 20)
 
 
 PHASES = f"""{REGIONS}, {MODES}, agl AS (SELECT log_id, t, value % 30 AS v FROM ev WHERE event_type = 'click'),
@@ -200,7 +195,7 @@ phases AS (SELECT log_id, row_number() OVER (PARTITION BY log_id ORDER BY o) - 1
 
 @query("phases", f"WITH {PHASES} SELECT log_id, idx, kind, round(t_start, 6) AS t_start, round(t_end, 6) AS t_end FROM phases")
 def phases(spark, folder):
-    rows = telemetry(spark, folder, "ARM", "EV", "MODE", "POS", "BARO")
+    rows = lake(spark, folder, "ARM", "EV", "MODE", "POS", "BARO")
     return _rounded(timeline.phases(rows, span=span(spark, folder)), 6, "t_start", "t_end")
 
 
@@ -219,7 +214,7 @@ def watchlist_values(spark, folder):
 
 def _panel(spark, folder):
     marks = of_type(events(spark, folder), "error").select("log_id", F.col("seq").alias("cursor"), "t")
-    rows = telemetry(spark, folder, "ATT", "CTUN", "RCIN", "RCOU", "PARM", "POS", "BARO", "GPS", "XKF4", "XKF3")
+    rows = lake(spark, folder, "ATT", "CTUN", "RCIN", "RCOU", "PARM", "POS", "BARO", "GPS", "XKF4", "XKF3")
     return S.instrument_panel(rows, marks)
 
 
@@ -263,10 +258,10 @@ def control_matrix(spark, folder):
 @query("snapshots")
 def snapshots(spark, folder):
     marks = of_type(events(spark, folder), "error").select("log_id", F.col("seq").alias("cursor"), "t")
-    return S.snapshots(_lake(spark, folder), marks)
+    return S.snapshots(lake(spark, folder), marks)
 
 
 @query("telemetry_rows")
 def telemetry_rows(spark, folder):
     marks = of_type(events(spark, folder), "error").select("log_id", F.col("seq").alias("cursor"), "t")
-    return S.telemetry_rows(telemetry(spark, folder, "ATT", "MODE", "POS", "BARO", "GPS"), marks)
+    return S.telemetry_rows(lake(spark, folder, "ATT", "MODE", "POS", "BARO", "GPS"), marks)

@@ -48,7 +48,7 @@ def test_regions_and_flights(rows):
 
 
 def test_snapshot_fields(spark, rows):
-    marks = spark.createDataFrame([("flight", 1, 30.2)], "log_id string, cursor long, t double")
+    marks = spark.createDataFrame([("flight", 1, 30.25)], "log_id string, cursor long, t double")
     s = snapshot.snapshots(rows, marks).collect()[0]
     assert s.event.message == "ERR: GPS code=2" and s.flight_index == 0 and s.flight_total == 1 and s.phase == "HOVER" and s.mode == "LOITER"
     assert s.pilot.roll == pytest.approx(0.5) and s.divergence.yaw == pytest.approx(2.0) and s.divergence.roll == pytest.approx(10.0)
