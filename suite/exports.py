@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,7 +11,7 @@ from aerolake.plans import analytics, catalog, evidence, metrics
 from aerolake.plans import health as H
 from aerolake.plans import snapshot as S
 from aerolake.plans.trajectory import best_trajectory
-from aerolake.session import cut
+from aerolake.session import cut, shared_folder
 from aerolake.sources import aviation, integrity
 from aerolake.streaming import landing
 from suite.fleet import EV, SPAN, events, lake, of_type, span, telemetry
@@ -104,8 +104,7 @@ def _stream(spark, folder):
 
 def _run(spark, rows, mode: str = "append"):
     """Run a stream over what is there and return what it wrote."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    folder = tempfile.mkdtemp(prefix="aerolake-stream-") if base is None else f"{base}/stream-{spark.sparkContext.applicationId}-{id(rows)}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     query_ = rows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
     query_.awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{folder}/out")
