@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aerolake.llm.text import slices
 from aerolake.session import cut, shared_folder
 
 MIN_PAYLOAD = 0
@@ -110,7 +111,7 @@ def write_archives(pages: DataFrame, folder: str, min_payload: int = MIN_PAYLOAD
         files, base = fs.FileSystem.from_uri(folder)
         stream, name, at, number = None, "", 0, 0
         try:
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole, "html")):
                 out = []
                 for page, url, text, digest, first in zip(*(c.to_pylist() for c in batch.columns)):
                     revisit = page != first
