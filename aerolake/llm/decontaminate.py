@@ -10,7 +10,8 @@ so that no task ever holds more. One automaton is the usual case.
 
 Defined results: a null text has no words, in documents and items; an item without words has no window;
 an item id that occurs on several rows is one item with the windows of all of them; repeated documents
-give a row each; an empty benchmark hits nothing; a null item id is named by the empty string.
+give a row each; an empty benchmark hits nothing; a null item id is named by the empty string; columns
+added here replace columns of the same name, all others are carried along.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolake.llm.text import slices
+from aerolake.llm.tables import without
 from aerolake.session import cut
 
 WINDOW = 10
@@ -147,6 +149,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", si
     With several automata the documents pass through them one after the other, and each adds its hits
     to the columns: still a narrow plan without a shuffle.
     """
+    docs = without(docs, [f"d_{n}" for n in ("n_words", "n_hit", "items", "spans", "chars")])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     made = ", ".join(f"d_{part.strip()}" for part in re.split(r", (?=\w+ )", RESULT))
     out = None

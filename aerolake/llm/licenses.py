@@ -7,7 +7,8 @@ of array expressions; the templates are a literal of known size.
 
 Defined results: a null or empty text has no units and no license; a unit of fewer than two words has no
 bigrams and matches nothing; of templates with the same coefficient the first by name wins; repeated
-rows give a row each; an empty table gives an empty table; other columns are carried along.
+rows give a row each; an empty table gives an empty table; other columns are carried along, but for one
+named l_matches, which is replaced.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aerolake.llm.tables import without
+
 MIN_DICE = 0.8
 #: The literal of templates may hold so many bigrams in all.
 MAX_TEMPLATE_BIGRAMS = 200_000
@@ -92,6 +95,7 @@ def template_literal(spark: SparkSession, templates: dict[str, tuple[str, ...]],
 def scan(docs: DataFrame, text: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, min_dice: float = MIN_DICE) -> DataFrame:
     """The documents without their text, with ``l_matches``: array<struct<dice, license, unit>>, best template of every
     matching unit in the order of the units."""
+    docs = without(docs, ["l_matches"])
     known = template_literal(docs.sparkSession, templates, min_dice)
     units = F.concat(
         F.split(F.col(text), r"[\r\n]+"),

@@ -5,7 +5,8 @@ agree; further kinds (IBAN by mod 97, social security number, short cards) are k
 raised by context words close by, reaches the threshold.
 
 Defined results: a null text has no spans; spans count code points, end exclusive; repeated rows give a
-row each; an empty table gives an empty table; other columns are carried along. The pass is narrow.
+row each; an empty table gives an empty table; other columns are carried along, but for one named
+p_spans, which is replaced. The pass is narrow.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from aerolake.llm.tables import without
 from aerolake.llm.text import slices
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -146,6 +148,7 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end
 
 def find_pii(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, redact: bool = False) -> DataFrame:
     """The documents with ``p_spans`` in place of the text or, with ``redact``, beside the redacted text."""
+    docs = without(docs, ["p_spans"])
     kept = [f for f in docs.schema.fields if redact or f.name != text]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "p_spans array<struct<kind:string,start:int,end:int,score:double>>"])
 

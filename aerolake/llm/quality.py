@@ -6,7 +6,7 @@ its rate is shrunk toward the rate of all hosts by a beta prior fitted to the ho
 
 Defined results: a null text has no words and fails; documents whose host is null form one host;
 repeated rows are measured and counted each; an empty table gives an empty table; columns beside the
-ones used are carried along unchanged.
+ones used are carried along, except that columns added here replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolake.llm.text import Texts, chained, later_copies, mask_of, mix, slices, span_hashes, twice_or_more
+from aerolake.llm.tables import shielded, without
 from aerolake.session import cut
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -61,6 +62,7 @@ def _measures(column: pa.Array) -> list[np.ndarray]:
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with the five measures as columns ``q_<measure>``; a narrow pass over whole texts."""
+    docs = without(docs, [f"q_{m}" for m in MEASURES])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"q_{m} bigint" for m in MEASURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +118,7 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", max_host_ra
     The measures are written once; host verdicts are joined to them on (host, salt), each host copied
     to ``SALTS`` rows, so that a host with a third of all documents is spread over many tasks.
     """
-    measured = cut(measure(docs, text).drop(text))
+    measured = cut(measure(without(docs, ("q_host", "q_host_rate", "q_salt", "q_salt_h", "q_failed", "q_kept")), text).drop(text))
     verdicts = host_rates(measured, host).select(
         "q_host", F.col("q_rate").alias("q_host_rate"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("q_salt_h"))
     rows = measured.withColumn("q_salt", F.pmod(F.xxhash64(*[c for c in measured.columns]), F.lit(SALTS)).cast("int"))
@@ -128,6 +130,10 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", max_host_ra
 def keep_good(docs: DataFrame, host: str = "source", text: str = "text", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
     """The documents that pass, with their own columns. Texts are not shuffled: they are measured a
     second time, and only the rejected hosts are joined."""
+    return shielded(docs, (host, text), lambda rows: _keep_good(rows, host, text, max_host_rate))
+
+
+def _keep_good(docs: DataFrame, host: str, text: str, max_host_rate: float) -> DataFrame:
     names = docs.columns
     hosts = host_rates(cut(measure(docs.select(host, text), text).drop(text)), host)
     bad = hosts.filter(F.col("q_rate") > max_host_rate).select(

@@ -4,7 +4,8 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is writte
 as the next stage's docs. All but the last return the columns of ``docs``, extra ones included.
 
 Defined results: null texts have no words and go with the quality rules; repeated rows are judged alike and
-only one of them passes the near-duplicate stage; an empty table stays empty through all stages.
+only one of them passes the near-duplicate stage; an empty table stays empty through all stages; extra
+columns may have any names, also those that the operators use.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from aerolake.llm import bpe, decontaminate, lines, minhash, quality
 from aerolake.llm.queries import vocabulary
+from aerolake.llm.tables import shielded
 from aerolake.session import shared_folder, ship_code
 
 
@@ -28,8 +30,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs are deleted; a document of which no word is left goes."""
     ship_code(spark)
-    cleaned = lines.drop_repeats(docs)
-    return cleaned.filter((F.col("x_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("x_removed")
+
+    def cleaned(rows: DataFrame) -> DataFrame:
+        return lines.drop_repeats(rows).filter((F.col("x_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+
+    return shielded(docs, ("doc_id", "text"), cleaned)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +46,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark passage go."""
     ship_code(spark)
-    found = decontaminate.scan_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.filter("d_n_hit = 0").select(*docs.columns)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return shielded(docs, ("text",), lambda rows: decontaminate.scan_documents(rows, benchmark).filter("d_n_hit = 0"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,17 +35,17 @@ def test_quality(plain):
 
 
 def test_quality_stage_keeps_columns(docs):
-    kept = quality.keep_good(docs.drop("q_n_words"))
-    assert kept.columns == docs.drop("q_n_words").columns
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} <= {5, 6, None}
 
 
 def test_line_dedup(docs):
-    got = lines.drop_repeats(docs.drop("x_removed"))
-    assert got.columns == [*docs.drop("x_removed").columns, "x_removed"]
+    got = lines.drop_repeats(docs)
+    assert got.columns == [*[c for c in docs.columns if c != "x_removed"], "x_removed"]
     texts = {r.doc_id: r.text for r in got.collect()}
     assert texts[5] == LONG and texts[6] == "" and texts[2] is None and texts[3] == "" and texts[7] == " \n\t\n"
-    assert got.count() == len(ROWS) and lines.drop_repeats(docs.drop("x_removed").limit(0)).count() == 0
+    assert got.count() == len(ROWS) and lines.drop_repeats(docs.limit(0)).count() == 0
 
 
 def test_near_duplicates(docs):
@@ -59,7 +59,7 @@ def test_near_duplicates(docs):
 
 def test_decontamination(spark, docs):
     items = spark.createDataFrame([(1, "W3x3 w4X4! w5x5"), (1, "a B c"), (2, None), (3, "..."), (None, "42")], "item_id long, text string")
-    given = docs.drop("d_n_hit")
+    given = docs
     got = decontaminate.scan_documents(given, items)
     hit = {r.doc_id: (r.d_n_hit, r["d_items"]) for r in got.collect()}
     assert hit[1] == (3, ["1"]) and hit[8] == (1, [""]) and hit[2] == (0, []) and hit[5][1] == ["1"]
@@ -89,15 +89,15 @@ def test_encoding(docs):
 
 
 def test_personal_data(docs):
-    got = pii.find_pii(docs.drop("p_spans"))
+    got = pii.find_pii(docs)
     assert got.count() == len(ROWS) and {r.doc_id: len(r.p_spans) for r in got.collect()}[2] == 0
-    assert pii.find_pii(docs.drop("p_spans").limit(0)).count() == 0
+    assert pii.find_pii(docs.limit(0)).count() == 0
 
 
 def test_licenses(docs):
-    got = licenses.scan(docs.drop("l_matches"))
+    got = licenses.scan(docs)
     assert got.count() == len(ROWS) and all(not r.l_matches for r in got.collect())
-    assert licenses.scan(docs.drop("l_matches").limit(0)).count() == 0
+    assert licenses.scan(docs.limit(0)).count() == 0
 
 
 def test_scores(plain):
@@ -131,3 +131,15 @@ def test_chats(spark):
     assert [p.role for p in made[2].parsed] == ["assistant", "user", "user"] and made[2].c_first_break == 0
     assert made[3].c_valid and made[3].c_first_break is None and not made[None].c_valid
     assert chat.format_chats(given.limit(0)).count() == 0
+
+
+def test_stages_of_the_pipeline(spark, docs):
+    """Every stage takes all cases, returns the given columns, and leaves an empty table empty."""
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES:
+        for given in (docs, docs.limit(0)):
+            out = stage(spark, given, folder)
+            assert out.count() <= given.count()
+            assert name == "encoding" or (out.columns == given.columns and [f.dataType for f in out.schema] == [f.dataType for f in given.schema])
