@@ -21,6 +21,7 @@ give a row each; an empty table gives an empty table; other columns are carried
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -34,8 +35,11 @@ from aerolake.llm.text import _BYTES, Texts, _power_tables, mix, slices
 ROLL_BYTES = 24
 CHUNK_BYTES = 1024
 #: Remembered words and bytes of remembered chunks in a Python worker.
-MAX_WORDS = 200_000
+MAX_WORDS = 400_000
 MAX_CHUNK_BYTES = 16_000_000
+MAX_JOINS = 50_000
+#: Unknown words that are encoded in one call.
+LINE_WORDS = 1000
 
 _BLANK = b" \t\n\r"
 _PROBE = "It's a tést, N° 42!\n\tAnd the re-test <|endoftext|> of Étude's 3rd  line."
@@ -54,9 +58,10 @@ def cuts(data: np.ndarray, roll: int = ROLL_BYTES, average: int = CHUNK_BYTES) -
 
 
 class Encoder:
-    """A tokenizer with its memories. ``piece``: (number of tokens, ids as text, decoded text, ids as int32)."""
+    """A tokenizer with its memories. ``piece``: (number of tokens, ids as text, decoded text)."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -64,33 +69,45 @@ class Encoder:
         self.tokenizer.no_padding()
         self.words: dict[bytes, tuple] = {}
         self.chunks: dict[bytes, tuple] = {}
+        self.agreed: dict[bytes, bool] = {}
         self.chunk_bytes = 0
         self.encoded_chunks = self.reused_chunks = self.widened = 0
+        self.names = {i: t.encode() for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        self.digits = {i: b"%d" % i for i in self.names}
         whole = self.ids(_PROBE)
         parts = [i for w in _PROBE.split() for i in self.ids(w)]
-        spaced = " ".join(self.tokenizer.decode([i], skip_special_tokens=False) for i in whole)
-        self.splits = whole == parts and self.tokenizer.decode(whole, skip_special_tokens=False) == spaced
+        self.splits = whole == parts and self.tokenizer.decode(whole, skip_special_tokens=False).encode() == self._piece(whole)[2]
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _piece(self, ids: list[int]) -> tuple:
-        decoded = self.tokenizer.decode(ids, skip_special_tokens=False).encode() if ids else b""
-        return len(ids), b" ".join(b"%d" % i for i in ids), decoded, np.array(ids, np.int32).tobytes()
+        return len(ids), b" ".join([self.digits[i] for i in ids]), b" ".join([self.names[i] for i in ids])
+
+    def whole(self, text: str) -> tuple:
+        ids = self.ids(text)
+        return len(ids), b" ".join([self.digits[i] for i in ids]), self.tokenizer.decode(ids, skip_special_tokens=False).encode()
 
     def learn(self, words: set[bytes]) -> None:
-        """Encodes the words that are not remembered, in one call."""
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > MAX_WORDS:
-            self.words.clear()
+        """Encodes the words that are not remembered: ``LINE_WORDS`` of them as one line, taken apart by offsets."""
+        known = self.words
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > MAX_WORDS:
+            known.clear()
             new = list(words)
-        if new:
-            for word, got in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                self.words[word] = self._piece(got.ids)
+        for low in range(0, len(new), LINE_WORDS):
+            line = [w.decode() for w in new[low : low + LINE_WORDS]]
+            got = self.tokenizer.encode(" ".join(line), add_special_tokens=False)
+            ends = np.cumsum([len(w) + 1 for w in line])
+            begins = np.array([a for a, _ in got.offsets], np.int64)
+            cuts_ = [0, *np.searchsorted(begins, ends).tolist()]
+            ids = got.ids
+            for word, a, b in zip(new[low : low + LINE_WORDS], cuts_, cuts_[1:]):
+                known[word] = self._piece(ids[a:b])
 
     def joined(self, pieces: list[tuple]) -> tuple:
         full = [p for p in pieces if p[0]]
-        return sum(p[0] for p in full), b" ".join([p[1] for p in full]), b" ".join([p[2] for p in full]), b"".join([p[3] for p in full])
+        return sum([p[0] for p in full]), b" ".join([p[1] for p in full]), b" ".join([p[2] for p in full])
 
     def word_pieces(self, words: list[bytes]) -> tuple:
         known = self.words
@@ -104,7 +121,7 @@ class Encoder:
             return found
         self.encoded_chunks += 1
         found = self.word_pieces(words)
-        self.chunk_bytes += 2 * len(chunk) + len(found[1]) + len(found[2]) + len(found[3]) + 300
+        self.chunk_bytes += 2 * len(chunk) + len(found[1]) + len(found[2]) + 300
         if self.chunk_bytes > MAX_CHUNK_BYTES:
             self.chunks.clear()
             self.chunk_bytes = 0
@@ -117,9 +134,11 @@ class Encoder:
         while True:
             a, b = left[-k:], right[:k]
             self.learn({middle, *a, *b})
-            whole = self.ids(b" ".join([*a, middle, *b]).decode())
-            parts = self.joined([self.words[w] for w in (*a, middle, *b)])
-            if np.array(whole, np.int32).tobytes() == parts[3]:
+            window = b" ".join([*a, middle, *b])
+            if self.agreed.get(window) or self._piece(self.ids(window.decode()))[1] == self.joined([self.words[w] for w in (*a, middle, *b)])[1]:
+                if len(self.agreed) > MAX_JOINS:
+                    self.agreed.clear()
+                self.agreed[window] = True
                 return self.words[middle]
             if k > len(left) and k > len(right):
                 return None
@@ -131,9 +150,9 @@ _PIECES = re.compile(rb"[^ \t\n\r]+")
 
 
 def encode_text(encoder: Encoder, text: bytes, at: list[int]) -> tuple:
-    """(number of tokens, ids as text, decoded text, ids as int32) of one text with its cuts."""
+    """(number of tokens, ids as text, decoded text) of one text with its cuts."""
     if not encoder.splits:
-        return encoder._piece(encoder.ids(text.decode()))
+        return encoder.whole(text.decode())
     chunks = [text[a:b] for a, b in zip([0, *at], [*at, len(text)])]
     split = []
     for chunk in chunks:
@@ -153,7 +172,7 @@ def encode_text(encoder: Encoder, text: bytes, at: list[int]) -> tuple:
         if piece:
             got = encoder.join(before, piece, body)
             if got is None:
-                return encoder._piece(encoder.ids(text.decode()))
+                return encoder.whole(text.decode())
             encoder.learn(set(body))
             out.append(got)
         out.append(encoder.inner(chunk, body))
@@ -162,7 +181,7 @@ def encode_text(encoder: Encoder, text: bytes, at: list[int]) -> tuple:
     if open_piece:
         got = encoder.join(before, open_piece, [])
         if got is None:
-            return encoder._piece(encoder.ids(text.decode()))
+            return encoder.whole(text.decode())
         out.append(got)
     return encoder.joined(out)
 
@@ -195,17 +214,18 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", with_ids: bool
                 data = texts.data.tobytes()
                 counts, ids, decoded, arrays = [], [], [], []
                 for a, b in zip(texts.offsets[:-1].tolist(), texts.offsets[1:].tolist()):
-                    n, ids_text, decoded_text, packed = encode_text(encoder, data[a:b], cuts(texts.data[a:b]).tolist())
+                    n, ids_text, decoded_text = encode_text(encoder, data[a:b], cuts(texts.data[a:b]).tolist())
                     counts.append(n)
                     ids.append(hashlib.sha256(ids_text).hexdigest())
                     decoded.append(hashlib.sha256(decoded_text).hexdigest())
-                    arrays.append(packed)
+                    if with_ids:
+                        arrays.append(np.array(ids_text.split(), np.int32))
                 columns = [part.column(part.schema.get_field_index(f.name)) for f in kept]
                 columns += [pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
                 names = [*(f.name for f in kept), "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
                     offsets = pa.array(np.cumsum([0, *counts]), pa.int32())
-                    columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(arrays), np.int32))))
+                    columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int32), *arrays]))))
                     names.append("input_ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
