@@ -125,7 +125,7 @@ class Texts:
 
 
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of at most ``limit`` bytes of text, or of one row where a text is longer."""
+    """The batch in pieces that hold, beside their first row, less than ``limit`` bytes of text."""
     if not batch.num_rows:
         return
     column = batch.column(batch.schema.get_field_index(text))
