@@ -47,10 +47,6 @@ def severity_rank(severity: Column) -> Column:
     return pick(severity, fixed.SEVERITY_RANK, F.lit(0))
 
 
-def severity_of_rank(rank: Column) -> Column:
-    return pick(rank, {v: k for k, v in fixed.SEVERITY_RANK.items()})
-
-
 def keyword_severity(text: Column) -> Column:
     lowered = F.lower(text)
     hit = reduce(lambda a, b: a | b, [lowered.contains(w) for w in fixed.CRITICAL_WORDS])
@@ -134,13 +130,6 @@ def minutes_seconds(seconds: Column) -> Column:
                     F.lpad(F.pmod(whole, F.lit(60)).cast("string"), 2, "0"))
 
 
-def clock_text(seconds: Column) -> Column:
-    """m:ss of the rounded seconds, never negative."""
-    whole = F.bround(F.greatest(seconds, F.lit(0.0))).cast("bigint")
-    return F.concat(F.floor(whole / 60).cast("string"), F.lit(":"),
-                    F.lpad((whole % 60).cast("string"), 2, "0"))
-
-
 def altitude_text(metres: Column) -> Column:
     suspect = F.abs(metres) > fixed.PLAUSIBLE_ALTITUDE_M
     return (F.when(metres.isNull(), F.lit("—"))

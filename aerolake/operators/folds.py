@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,19 +21,39 @@ from aerolake.operators.ordered import Ordered, needs_split, null_safe_join
 from aerolake.session import cut, rows_per_task
 
 
-def _walk(columns: list[str], x: str, gap: float, strict: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _walk(gap: float, strict: bool):
+    """Anchors of rows (_id, x, _n) that come chain by chain in order; chains may go on in the next batch.
+
+    Hops from anchor to anchor by binary search, so that the work is the number of anchors, not of rows.
+    """
+    def next_far(x: np.ndarray, at: int, stop: int, anchor: float) -> int:
+        """First place from ``at`` on that is far from the anchor; the difference itself decides, not the rounded sum."""
+        found = at + int(np.searchsorted(x[at:stop], anchor + gap, "left"))
+        far = (lambda v: v - anchor > gap) if strict else (lambda v: v - anchor >= gap)
+        while found > at and far(x[found - 1]):
+            found -= 1
+        while found < stop and not far(x[found]):
+            found += 1
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain, anchor, anchor_row = None, 0.0, 0
         for batch in batches:
-            ids = zip(*[batch[c].tolist() for c in columns])
-            out = []
-            for ident, value, row in zip(ids, batch[x].tolist(), batch["_n"].tolist()):
-                far = value - anchor > gap if strict else value - anchor >= gap
-                if ident != chain or far:
-                    chain, anchor, anchor_row = ident, value, row
-                out.append(anchor_row)
-            batch["anchor"] = out
-            yield batch
+            ids, x, rows = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            out = np.empty(len(ids), np.int64)
+            borders = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else []
+            for start, stop in zip(borders, [*borders[1:], len(ids)]):
+                at = start
+                if ids[start] == chain:  # the chain goes on from the batch before
+                    at = next_far(x, start, stop, anchor)
+                    out[start:at] = anchor_row
+                chain = ids[start]
+                while at < stop:
+                    anchor, anchor_row = x[at], rows[at]
+                    after = max(at + 1, next_far(x, at, stop, anchor))
+                    out[at:after] = anchor_row
+                    at = after
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out)], names=["_id", "_n", "anchor"])
 
     return run
 
@@ -81,12 +102,15 @@ def greedy_anchors(df: DataFrame, keys: Sequence[str], x: str, order: Sequence[s
     rows = Ordered(rows.withColumn("_new", fresh.cast("bigint")), keys, sequence, split).add(
         running={"_chain": ("sum", F.col("_new"))}).drop("_new", "_px")
     group = [*keys, "_chain"]
-    schema = rows.withColumn("anchor", F.col("_n")).schema
-    walk = _walk(group, x, gap, strict)
+    walk = _walk(gap, strict)
+    columns = [*rows.columns, "anchor"]
 
     def walked(part: DataFrame) -> DataFrame:
-        placed = part.repartition(*group).sortWithinPartitions(*group, "_n")
-        return placed.mapInPandas(walk, schema)
+        """Only (chain id, x, row number) goes through Python; the other columns are joined back."""
+        placed = part.withColumn("_id", F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], *[F.col(k).isNull() for k in keys], "_chain"))
+        narrow = placed.select("_id", F.col(x).cast("double").alias("_x_"), "_n").repartition("_id").sortWithinPartitions("_id", "_n")
+        found = narrow.mapInArrow(walk, "_id bigint, _n bigint, anchor bigint")
+        return placed.join(found.withColumnsRenamed({"_id": "_fid", "_n": "_fn"}), (F.col("_id") == F.col("_fid")) & (F.col("_n") == F.col("_fn"))).select(*columns)
 
     if split:
         rows = cut(rows)
@@ -101,7 +125,7 @@ def greedy_anchors(df: DataFrame, keys: Sequence[str], x: str, order: Sequence[s
         if inside is not None:
             outside = null_safe_join(rows, long, group, "left_anti")
             result = walked(outside).unionByName(
-                _by_doubling(inside, keys, x, gap, strict, longest).select(*schema.names))
+                _by_doubling(inside, keys, x, gap, strict, longest).select(*columns))
         else:
             result = walked(rows)
     else:

@@ -32,7 +32,9 @@ def few_windows(windows: DataFrame, keys: Sequence[str]) -> bool:
     """Whether the windows are measured to be small enough for a broadcast."""
     total, widest = (windows.groupBy(*keys).count()
                      .agg(F.sum("count"), F.max("count")).first())
-    return (total or 0) <= BROADCAST_WINDOWS and (widest or 0) <= BROADCAST_WINDOWS_PER_KEY
+    setting = windows.sparkSession.conf.get
+    most = int(setting("aerolake.broadcastWindows", str(BROADCAST_WINDOWS)))
+    return (total or 0) <= most and (widest or 0) <= int(setting("aerolake.broadcastWindowsPerKey", str(BROADCAST_WINDOWS_PER_KEY)))
 
 
 def within_windows(df: DataFrame, windows: DataFrame, keys: Sequence[str], ts: str,

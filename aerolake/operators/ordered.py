@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from aerolake.session import cut, rows_per_task
 
-_CELL, _SUB = "_cell", "_sub"
+_PIECES = ("_cell", "_sub", "_deep")
 _MERGE = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -40,78 +40,87 @@ def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
+#: A task orders this many bytes for every row it may hold, in memory or spilled.
+ROW_BYTES = 16
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """The planner's estimate of the size of ``df``; starts no job."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def needs_split(df: DataFrame, keys: Sequence[str]) -> bool:
-    return largest_key(df, keys) > rows_per_task(df.sparkSession)
+    """Whether some key has too many rows for a task. Only tables that are large as planned are counted: a
+    small one fits a task whatever its keys are. Both plans give the same rows."""
+    limit = rows_per_task(df.sparkSession)
+    return planned_bytes(df) > limit * ROW_BYTES and largest_key(df, keys) > limit
 
 
 def _numeric(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.NumericType)
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys with more rows than a task may hold: at most one row per ``rows_per_task`` input rows."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_h_n"))
+    return cut(counts.where(F.col("_h_n") > rows_per_task(df.sparkSession)).select(*keys))
+
+
+def _split_once(df: DataFrame, keys: Sequence[str], order: Sequence[str], pieces: Sequence[str], number: str, limit: int) -> DataFrame:
+    """Cut every piece of more than ``limit`` rows by the first order column that varies in it.
+
+    Rows where that column is NULL come first and get a number of their own, -1; the other rows of the
+    piece are cut evenly in the column. A column that is no number cannot be cut, so its piece stays.
+    """
+    task = rows_per_task(df.sparkSession)
+    facts = [F.count(F.lit(1)).alias("_h_n")]
+    for i, c in enumerate(order):
+        facts += [F.min(c).alias(f"_h_lo{i}"), F.max(c).alias(f"_h_hi{i}"), F.count(c).alias(f"_h_c{i}")]
+    crowded = df.groupBy(*keys, *pieces).agg(*facts).where(F.col("_h_n") > limit).withColumn("_h_pieces", F.ceil(F.col("_h_n") / task))
+    part = F.lit(0)
+    for i, c in reversed(list(enumerate(order))):
+        low, high = F.col(f"_h_lo{i}"), F.col(f"_h_hi{i}")
+        varies = (low < high) | ((F.col(f"_h_c{i}") > 0) & (F.col(f"_h_c{i}") < F.col("_h_n")))
+        inside = F.lit(0)
+        if _numeric(df, c):
+            x = F.col(c).cast("double")
+            share = (x - low.cast("double")) / (high.cast("double") - low.cast("double"))
+            even = F.when(low.cast("double") < high.cast("double"), F.least(F.floor(share * F.col("_h_pieces")), F.col("_h_pieces") - 1)).otherwise(F.lit(0))
+            inside = F.when(F.col(c).isNull(), F.lit(-1)).otherwise(even)
+        part = F.when(F.coalesce(varies, F.lit(False)), inside).otherwise(part)
+    found = null_safe_join(df, F.broadcast(crowded), [*keys, *pieces], "left")
+    return found.withColumn(number, F.coalesce(F.when(F.col("_h_n").isNotNull(), part), F.lit(0)).cast("bigint")).drop(
+        *[c for c in crowded.columns if c.startswith("_h_")])
+
+
 def split_hot_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Number the pieces of hot keys in ``_cell`` and ``_sub`` (both 0 elsewhere).
+    """Number the pieces of hot keys in ``_cell``, ``_sub`` and ``_deep`` (all 0 elsewhere).
 
-    A hot key is cut evenly in time; a cell that is still hot is cut again by time, or by the
-    last order column when all its rows carry one time. Both tables that are joined back hold
-    at most one row per ``rows_per_task`` input rows, which bounds the two broadcasts.
+    A hot key is cut evenly in time; a piece that is still hot is cut again by time, or by the next order
+    column where all its rows carry one time, and so on. The tables that are joined back hold at most one
+    row per ``rows_per_task`` input rows, which bounds the broadcasts.
     """
     limit = rows_per_task(df.sparkSession)
-    ts, tie = order[0], order[-1]
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_h_n"), F.min(ts).alias("_h_lo"), F.max(ts).alias("_h_hi"))
-        .where(F.col("_h_n") > limit)
-        .withColumn("_h_pieces", F.ceil(F.col("_h_n") / limit))
-        .drop("_h_n")
-    )
-    share = (F.col(ts) - F.col("_h_lo")) / (F.col("_h_hi") - F.col("_h_lo")) * F.col("_h_pieces")
-    cells = null_safe_join(df, F.broadcast(hot), keys, "left").withColumn(
-        _CELL,
-        F.when(
-            F.col("_h_hi") > F.col("_h_lo"),
-            F.least(F.floor(share), F.col("_h_pieces") - 1),
-        ).otherwise(F.lit(0)).cast("bigint"),
-    )
-    cells = cells.drop("_h_lo", "_h_hi", "_h_pieces")
-
-    by_tie = _numeric(df, tie)
-    tie_value = F.col(tie).cast("double") if by_tie else F.lit(0.0)
-    crowded = (
-        cells.groupBy(*keys, _CELL)
-        .agg(
-            F.count(F.lit(1)).alias("_h_n"),
-            F.min(ts).alias("_h_lo"), F.max(ts).alias("_h_hi"),
-            F.min(tie_value).alias("_h_tlo"), F.max(tie_value).alias("_h_thi"),
-            F.count(tie_value).alias("_h_ties"),
-        )
-        .where(F.col("_h_n") > 2 * limit)
-        .withColumn("_h_pieces", F.ceil(F.col("_h_n") / limit))
-    )
-    by_time = (F.col(ts) - F.col("_h_lo")) / (F.col("_h_hi") - F.col("_h_lo"))
-    by_rank = (tie_value - F.col("_h_tlo")) / (F.col("_h_thi") - F.col("_h_tlo"))
-    # The tie column orders rows of one instant only when it is the sole further order column.
-    rankable = F.lit(len(order) == 2 and by_tie) & (F.col("_h_ties") == F.col("_h_n"))
-    inside = (
-        F.when(F.col("_h_hi") > F.col("_h_lo"), by_time)
-        .when(rankable & (F.col("_h_thi") > F.col("_h_tlo")), by_rank)
-        .otherwise(F.lit(0.0))
-    )
-    parts = null_safe_join(cells, F.broadcast(crowded), [*keys, _CELL], "left").withColumn(
-        _SUB,
-        F.coalesce(F.least(F.floor(inside * F.col("_h_pieces")), F.col("_h_pieces") - 1), F.lit(0))
-        .cast("bigint"),
-    )
-    return parts.drop("_h_n", "_h_lo", "_h_hi", "_h_tlo", "_h_thi", "_h_ties", "_h_pieces")
+    for depth, name in enumerate(_PIECES):
+        df = _split_once(df, keys, order, _PIECES[:depth], name, limit if depth == 0 else 2 * limit)
+    return df
 
 
 class Ordered:
-    """Rows of ``df`` per key in ascending ``order`` (time first, then tie breakers)."""
+    """Rows of ``df`` per key in ascending ``order`` (time first, then tie breakers).
+
+    If some key is hot, only the hot keys take the split plan; all others keep the plain one.
+    """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  split: bool | None = None):
         self.keys, self.order = list(keys), list(order)
         self.split = needs_split(df, keys) if split is None else split
-        self.df = cut(split_hot_keys(df, self.keys, self.order)) if self.split else df
+        self.df = df
+        if self.split:
+            hot = hot_keys(df, keys)
+            self.df = null_safe_join(df, F.broadcast(hot), self.keys, "left_anti")
+            self.hot = cut(split_hot_keys(null_safe_join(df, F.broadcast(hot), self.keys, "left_semi"), self.keys, self.order))
 
     def add(self, prev: Mapping[str, Column] | None = None,
             next: Mapping[str, Column] | None = None,
@@ -126,7 +135,8 @@ class Ordered:
         running: ``("sum" | "max" | "min", expression)`` from the first row to this one.
         """
         parts = (prev or {}, next or {}, last or {}, following or {}, position, running or {})
-        return self._split(*parts) if self.split else self._plain(*parts)
+        plain = self._plain(*parts)
+        return plain.unionByName(self._split(*parts)) if self.split else plain
 
     def _windows(self, keys: Sequence[str]):
         up = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in self.order])
@@ -153,7 +163,7 @@ class Ordered:
         return self.df.withColumns(columns)
 
     def _split(self, prev, next, last, following, position, running) -> DataFrame:
-        pieces = [*self.keys, _CELL, _SUB]
+        pieces = [*self.keys, *_PIECES]
         up, down = self._windows(pieces)
         so_far = up.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         ahead = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -167,10 +177,10 @@ class Ordered:
         edges += [F.min_by(e, F.when(e.isNotNull(), rank)).alias(f"_f_{n}")
                   for n, e in following.items()]
         edges += [_MERGE[how](e).alias(f"_r_{n}") for n, (how, e) in running.items()]
-        table = self.df.groupBy(*pieces).agg(*edges)
+        table = self.hot.groupBy(*pieces).agg(*edges)
 
-        forward = Window.partitionBy(*self.keys).orderBy(_CELL, _SUB)
-        backward = Window.partitionBy(*self.keys).orderBy(F.desc(_CELL), F.desc(_SUB))
+        forward = Window.partitionBy(*self.keys).orderBy(*_PIECES)
+        backward = Window.partitionBy(*self.keys).orderBy(*[F.desc(c) for c in _PIECES])
         before = forward.rowsBetween(Window.unboundedPreceding, -1)
         after = backward.rowsBetween(Window.unboundedPreceding, -1)
         carried = [F.sum("_rows").over(before).alias("_c_rows")]
@@ -189,7 +199,7 @@ class Ordered:
         local |= {n: F.last(e, ignorenulls=True).over(so_far) for n, e in last.items()}
         local |= {n: F.last(e, ignorenulls=True).over(ahead) for n, e in following.items()}
         local |= {n: _MERGE[how](e).over(so_far) for n, (how, e) in running.items()}
-        rows = null_safe_join(self.df.withColumns(local), table, pieces, "left")
+        rows = null_safe_join(self.hot.withColumns(local), table, pieces, "left")
 
         columns = {}
         for name in prev:
@@ -209,4 +219,4 @@ class Ordered:
                 columns[name] = (F.greatest if how == "max" else F.least)(mine, carry)
         rows = rows.withColumns(columns)
         helpers = [c for c in rows.columns if c.startswith("_c_")]
-        return rows.drop(*helpers, _CELL, _SUB, "_at", "_ends")
+        return rows.drop(*helpers, *_PIECES, "_at", "_ends")

@@ -12,7 +12,6 @@ from aerolake.functions import columns as C
 from aerolake.functions import fixed
 from aerolake.functions.rc import default_config, rc_config, stick_simple
 from aerolake.operators.asof import interp_clamped
-from aerolake.operators.decimate import decimate_even
 from aerolake.operators.intervals import few_windows, within_windows
 from aerolake.operators.ordered import Ordered, null_safe_join
 from aerolake.operators.spectrum import dominant_peaks
@@ -166,8 +165,8 @@ def vertical_rates(telemetry: DataFrame, windows: DataFrame, profile: DataFrame,
 def landing(telemetry: DataFrame, windows: DataFrame, totals: DataFrame, split: bool | None = None,
             few: bool | None = None) -> DataFrame:
     """Touchdown after the last airborne sample, and the steepest descent just before it."""
-    # At most 100,000 rows per log, read five times below.
-    profile = cut(decimate_even(altitude_series(telemetry), KEY, ["seq"], 100_000, split))
+    # All rows of the height series, read five times below.
+    profile = cut(altitude_series(telemetry))
     sizes = profile.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 3)
     flown = null_safe_join(null_safe_join(profile, sizes, KEY, "left_semi"), totals, KEY, "inner")
     flown = flown.where(F.col("t") <= F.col("last_end")).select(*KEY, "seq", "t", "agl")
@@ -367,14 +366,13 @@ class FlightAnalytics:
     """The report's parts as lazily built DataFrames over one telemetry table.
 
     One action at the start measures whether some log needs the split plans. ``share``
-    writes the part tables, a few rows per log each, to the checkpoint folder, because the later
-    parts read them several times and their plans would otherwise be repeated inside each other;
-    the armed attitude errors and sticks are persisted.
+    writes the part tables to the checkpoint folder, because the later parts read them several times
+    and their plans would otherwise be repeated inside each other: the armed attitude errors and
+    sticks, and tables of a few rows per log.
     """
 
     def __init__(self, telemetry: DataFrame, split: bool | None = None, share: bool = True):
         keep = cut if share else (lambda frame: frame)
-        hold = (lambda frame: frame.persist()) if share else (lambda frame: frame)
         self.telemetry = telemetry
         self.split = fleet_split(telemetry) if split is None else split
         self.span = keep(log_span(telemetry))
@@ -382,8 +380,8 @@ class FlightAnalytics:
         self.windows = keep(armed_windows(telemetry, self.span, self.split))
         self.few = few_windows(self.windows, KEY)
         self.totals = keep(armed_totals(self.windows))
-        self.errors = hold(attitude_errors(telemetry, self.windows, self.split, few=self.few))
-        self.sticks = hold(stick_series(telemetry, self.windows, self.split, few=self.few))
+        self.errors = keep(attitude_errors(telemetry, self.windows, self.split, few=self.few))
+        self.sticks = keep(stick_series(telemetry, self.windows, self.split, few=self.few))
         self.tracking = keep(tracking(self.errors))
         self.smoothness = keep(smoothness(self.sticks, self.totals, self.split))
         self.yaw = keep(yaw_discipline(self.errors, self.sticks, self.logs))

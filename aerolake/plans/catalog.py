@@ -106,7 +106,14 @@ def visible_signals_table(signals: DataFrame, views: DataFrame, wanted: list[str
     return placed.groupBy(*KEY, "row").agg(*columns)
 
 
-def write_signals_csv(table: DataFrame, path: str) -> None:
-    """One folder of CSV files per log, rows in order within each file."""
-    spread = table.repartitionByRange(*KEY, "row").sortWithinPartitions(*KEY, "row")
-    spread.write.mode("overwrite").partitionBy(*KEY).option("header", True).csv(path)
+def message_keys(telemetry: DataFrame) -> DataFrame:
+    """(log_id, keys): the names of a log's messages, with instance numbers, in order; a few dozen at most."""
+    key = F.when(F.col("instance").isNull(), F.col("msg")).otherwise(F.concat("msg", F.lit("["), F.col("instance").cast("string"), F.lit("]")))
+    return telemetry.groupBy(*KEY).agg(F.sort_array(F.collect_set(key)).alias("keys"))
+
+
+def write_signals_csv(table: DataFrame, path: str, buckets: int = 256) -> None:
+    """CSV files in a folder per bucket of logs, rows of a log in order; the log stays a column."""
+    placed = table.withColumn("bucket", F.pmod(F.xxhash64(*KEY), F.lit(buckets)))
+    spread = placed.repartitionByRange("bucket", *KEY, "row").sortWithinPartitions("bucket", *KEY, "row")
+    spread.write.mode("overwrite").partitionBy("bucket").option("header", True).csv(path)

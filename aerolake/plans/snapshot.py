@@ -1,7 +1,8 @@
 """Everything known at a moment: cursor values with provenance, diagnostics, control, context.
 
-A cursor is a row (log_id, cursor, t). All signals of all cursors are resolved by one as-of join
-keyed by (log_id, signal), folded into one map per cursor, and read from there.
+A cursor is a row (log_id, cursor, t). The samples of a message share their times, so all signals of
+all cursors are resolved by one as-of join keyed by (log_id, message), folded into one map per cursor,
+and read from there.
 """
 
 from __future__ import annotations
@@ -64,16 +65,33 @@ def axis_config(telemetry: DataFrame) -> DataFrame:
     return config.unionByName(default_config(bare, KEY))
 
 
-def stick_samples(telemetry: DataFrame, config: DataFrame) -> DataFrame:
-    """Pulse widths per axis (signals ``pilot_<axis>``, ``servo_<axis>``) through each log's channel map."""
+def _cell(present: Column, value: Column) -> Column:
+    """A reading that may be missing (NULL cell) or empty (NULL value)."""
+    return F.when(present, F.struct(value.cast("double").alias("v")))
+
+
+def message_samples(telemetry: DataFrame, wanted) -> DataFrame:
+    """(log_id, message, seq, t, cells): one row per record, its wanted columns as an array."""
+    name, cells = F.lit(None).cast("string"), F.lit(None).cast("array<struct<v:double>>")
+    for msg, instance, names in wanted:
+        same = F.col("instance").isNull() if instance is None else F.coalesce(F.col("instance") == instance, F.lit(False))
+        hit = (F.col("msg") == msg) & same
+        name = F.when(hit, F.lit(_name(msg, instance))).otherwise(name)
+        cells = F.when(hit, F.array(*[_cell(has_number(n), number(n)) for n in names])).otherwise(cells)
+    rows = records(telemetry, *{m for m, _, _ in wanted}).where(F.col("t").isNotNull())
+    return rows.select(*KEY, name.alias("message"), "seq", "t", cells.alias("cells")).where(F.col("message").isNotNull())
+
+
+def stick_messages(telemetry: DataFrame, axes: DataFrame) -> DataFrame:
+    """The same of pulse widths, one cell per axis through each log's channel map."""
     rows = records(telemetry, "RCIN", "RCOU").where(F.col("instance").isNull() & F.col("t").isNotNull())
-    rows = null_safe_join(rows, config.select(*KEY, "axis", "channel"), KEY, "inner")
-    name = F.concat(F.lit("C"), F.col("channel").cast("string"))
-    side = C.pick(F.col("msg"), dict(STICKS))
-    present = F.map_contains_key("ints", name) | F.map_contains_key("reals", name)
-    return rows.where(present).select(
-        *KEY, F.concat(side, F.lit("_"), F.col("axis")).alias("signal"), "seq", "t",
-        F.coalesce(F.col("reals")[name], F.col("ints")[name].cast("double")).alias("v"))
+    rows = null_safe_join(rows, axes, KEY, "inner")
+    cells = []
+    for axis in fixed.RC_AXES:
+        name = F.concat(F.lit("C"), F.col("axes")[axis]["channel"].cast("string"))
+        present = F.coalesce(F.map_contains_key("ints", name) | F.map_contains_key("reals", name), F.lit(False))
+        cells.append(_cell(present, F.coalesce(F.col("reals")[name], F.col("ints")[name].cast("double"))))
+    return rows.select(*KEY, F.col("msg").alias("message"), "seq", "t", F.array(*cells).alias("cells"))
 
 
 def cursor_values(cursors: DataFrame, samples: DataFrame, signals: list[str], held: bool = False,
@@ -169,26 +187,35 @@ def instrument_panel(telemetry: DataFrame, cursors: DataFrame, split: bool | Non
     """Cursors plus their value map, RC settings, present messages and the height's slope readings."""
     split = needs_split(telemetry, ["log_id", "msg"]) if split is None else split
     config = cut(axis_config(telemetry))
-    samples = labelled_samples(telemetry, CONTINUOUS).unionByName(stick_samples(telemetry, config))
-    sticks = [f"{side}_{axis}" for _, side in STICKS for axis in fixed.RC_AXES]
-    # The two slope readings are further cursors of the same join, half a second to each side.
-    shifts = F.explode(F.array(F.lit(0), F.lit(-1), F.lit(1))).alias("shift")
-    spread = cursors.select(*KEY, F.col("cursor").alias("_id"), "t", shifts)
-    marks = spread.select(*KEY, F.struct("_id", "shift").alias("cursor"), (F.col("t") + F.col("shift") * SLOPE_S).alias("t"))
-    labels = _all_labels(CONTINUOUS) + sticks
-    wanted = F.when(F.col("cursor.shift") == 0, F.array(*[F.lit(x) for x in labels])).otherwise(F.array(F.lit("POS.RelHomeAlt")))
-    keyed = marks.select(*KEY, "cursor", "t", F.explode(wanted).alias("signal"))
-    found = bracket(keyed, samples, [*KEY, "signal"], "t", "seq", ["v"], split=split)
-    sample = sample_struct(F.col("t"), F.col("lower"), F.col("upper"))
-    now = F.col("cursor.shift") == 0
+    axes = cut(packed_config(config))
+    samples = message_samples(telemetry, CONTINUOUS).unionByName(stick_messages(telemetry, axes))
+    labels = {**{_name(m, i): [f"{_name(m, i)}.{c}" for c in names] for m, i, names in CONTINUOUS},
+              **{m: [f"{side}_{axis}" for axis in fixed.RC_AXES] for m, side in STICKS}}
+    # A cursor asks every message once; the two slope readings are further cursors of the height's
+    # message, half a second to each side.
+    asked = [(m, 0) for m in labels] + [("POS", -1), ("POS", 1)]
+    spread = F.explode(F.array(*[F.struct(F.lit(m).alias("message"), F.lit(k).alias("shift")) for m, k in asked])).alias("_a")
+    marks = cursors.select(*KEY, F.col("cursor").alias("_id"), "t", spread)
+    keyed = marks.select(*KEY, F.struct("_id", F.col("_a.shift").alias("shift")).alias("cursor"), (F.col("t") + F.col("_a.shift") * SLOPE_S).alias("t"), "_a.message")
+    found = bracket(keyed, samples, [*KEY, "message"], "t", "seq", ["cells"], split=split)
+    names = C.pick(F.col("message"), {m: i for i, m in enumerate(labels)})
+    listed = F.get(F.array(*[F.array(*[F.lit(x) for x in group]) for group in labels.values()]), names)
+
+    def reading(side: str, i: Column) -> Column:
+        cell = F.get(F.col(side)["cells"], i)
+        return F.when(cell.isNotNull(), F.struct(F.col(side)["t"].alias("t"), F.col(side)["seq"].alias("seq"), cell["v"].alias("v")))
+
+    entries = F.transform(listed, lambda label, i: F.struct(label.alias("signal"), sample_struct(F.col("t"), reading("lower", i), reading("upper", i)).alias("s")))
+    height = labels["POS"].index("POS.RelHomeAlt")
+    slope = sample_struct(F.col("t"), reading("lower", F.lit(height)), reading("upper", F.lit(height)))["value"]
+    shift = F.col("cursor.shift")
     packed = found.groupBy(*KEY, F.col("cursor._id").alias("cursor")).agg(
-        F.map_from_entries(F.collect_list(F.when(now, F.struct("signal", sample.alias("s"))))).alias("_values"),
-        F.array(F.max(F.when(F.col("cursor.shift") == -1, sample["value"])),
-                F.max(F.when(F.col("cursor.shift") == 1, sample["value"]))).alias("slope_values"))
+        F.map_from_entries(F.flatten(F.collect_list(F.when(shift == 0, entries)))).alias("_values"),
+        F.array(F.max(F.when(shift == -1, slope)), F.max(F.when(shift == 1, slope))).alias("slope_values"))
     rows = null_safe_join(cursors, packed, [*KEY, "cursor"], "left")
     rows = cursor_values(rows, labelled_samples(telemetry, HELD), _all_labels(HELD), held=True, split=split)
     rows = rows.withColumn("values", F.map_concat("_values", "values")).drop("_values")
-    rows = null_safe_join(rows, packed_config(config), KEY, "left")
+    rows = null_safe_join(rows, axes, KEY, "left")
     return null_safe_join(rows, present_messages(telemetry), KEY, "left")
 
 

@@ -38,9 +38,15 @@ def has_text(name: str) -> Column:
 
 
 def number(*names: str) -> Column:
-    """The reading under the first of several spellings, as a double."""
-    readings = [v for n in names for v in (F.col("reals")[n], F.col("ints")[n].cast("double"))]
-    return F.coalesce(*readings)
+    """The reading under the first of several spellings that the record has, as a double.
+
+    A spelling counts if its key is there: a NULL under it stays NULL and no later spelling is asked.
+    """
+    chosen = F.lit(None).cast("double")
+    for n in reversed(names):
+        reading = F.coalesce(F.col("reals")[n], F.col("ints")[n].cast("double"))
+        chosen = F.when(has_number(n), reading).otherwise(chosen) if len(names) > 1 else reading
+    return chosen
 
 
 def any_number(*names: str) -> Column:
@@ -48,7 +54,10 @@ def any_number(*names: str) -> Column:
 
 
 def text(*names: str) -> Column:
-    return F.coalesce(*[F.col("texts")[n] for n in names])
+    chosen = F.lit(None).cast("string")
+    for n in reversed(names):
+        chosen = F.when(has_text(n), F.col("texts")[n]).otherwise(chosen) if len(names) > 1 else F.col("texts")[n]
+    return chosen
 
 
 def records(telemetry: DataFrame, *msgs: str) -> DataFrame:

@@ -11,8 +11,12 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from aerolake.functions import fixed
 from aerolake.schema import any_number, number
+from aerolake.plans.timeline import arm_regions
 from aerolake.sources.decode import decode_logs
 
+#: Most files per message that one micro-batch adds to the lake.
+FILES_PER_MESSAGE = 8
+
 
 def arriving_logs(spark: SparkSession, path: str, glob: str = "*.BIN", files_per_batch: int = 64) -> DataFrame:
     """Stream of newly landed log files, a bounded number per micro-batch."""
@@ -25,6 +29,8 @@ def arriving_logs(spark: SparkSession, path: str, glob: str = "*.BIN", files_per
 def ingest(spark: SparkSession, path: str, lake: str, checkpoint: str, glob: str = "*.BIN"):
     """Decode whatever has landed and append it to the lake, then stop; exactly once per file."""
     rows = decode_logs(arriving_logs(spark, path, glob))
+    # One message's rows of a micro-batch go to a few tasks, not to a file per task.
+    rows = rows.repartition("msg", F.pmod(F.xxhash64("log_id"), F.lit(FILES_PER_MESSAGE)))
     return (rows.writeStream.format("parquet").option("path", lake).option("checkpointLocation", checkpoint)
             .partitionBy("msg").trigger(availableNow=True).start())
 
@@ -99,3 +105,25 @@ def live_arm_regions(telemetry: DataFrame) -> DataFrame:
     return rows.groupBy("log_id").transformWithStateInPandas(
         statefulProcessor=_arm_tracker(), outputStructType="log_id string, t_start double, t_end double",
         outputMode="Append", timeMode="None")
+
+
+def remaining_windows(signal: DataFrame, emitted: DataFrame, by: list[str], value: str, width: str = "10 seconds",
+                      slide: str | None = None) -> DataFrame:
+    """The windows that were still open when a stream ended: a batch pass over what it read, after the last emitted end.
+
+    A stream emits windows in the order of their ends, so what it kept back are those that end later.
+    """
+    last = emitted.agg(F.max("w_end")).first()[0]
+    rows = signal if last is None else signal.where(F.col("at") >= F.lit(last) - F.expr(f"INTERVAL {width}"))
+    frame = F.window("at", width, slide) if slide else F.window("at", width)
+    v = F.col(value).cast("double")
+    grouped = rows.where(v.isNotNull() & ~F.isnan(v)).groupBy(*by, frame.alias("w"))
+    stats = grouped.agg(F.min(v).alias("v_min"), F.max(v).alias("v_max"), F.avg(v).alias("v_mean"), F.stddev_pop(v).alias("v_std"), F.count(v).alias("n"))
+    stats = stats.select(*by, F.col("w.start").alias("w_start"), F.col("w.end").alias("w_end"), "v_min", "v_max", "v_mean", "v_std", "n")
+    return stats if last is None else stats.where(F.col("w_end") > F.lit(last))
+
+
+def remaining_regions(telemetry: DataFrame, span: DataFrame, emitted: DataFrame, split: bool | None = None) -> DataFrame:
+    """The armed regions a stream has not closed, ended by their log's end, from a batch pass over what it read."""
+    regions = arm_regions(telemetry, span, split).select("log_id", "t_start", "t_end")
+    return regions.join(emitted.select("log_id", "t_start"), ["log_id", "t_start"], "left_anti")

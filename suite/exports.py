@@ -14,9 +14,9 @@ from aerolake.plans.trajectory import best_trajectory
 from aerolake.session import cut, shared_folder
 from aerolake.sources import aviation, integrity
 from aerolake.streaming import landing
-from suite.fleet import EV, SPAN, events, lake, of_type, span, telemetry
+from suite.fleet import EV, SPAN, events, lake, named, of_type, records_of, span, telemetry
 from suite.flights import ANOMALIES, TRACK, TRACK_MESSAGES
-from suite.logs import log_files
+from suite.logs import BASE, log_files
 from suite.registry import query, table
 from suite.reports import REPORT_MESSAGES
 
@@ -87,12 +87,16 @@ def report_documents(spark, folder):
     return evidence.report_json(meta, parts.report(), analytics.ranked_findings(parts.findings))
 
 
-@query("log_meta")
+@query("log_meta", f"""WITH {BASE}, l AS (SELECT log_id, any_value(user_id) % 5 AS c, 178 + 57 * count(*) AS n, min(us) / 1e6 AS a, max(us) / 1e6 AS b FROM e GROUP BY log_id)
+SELECT log_id, CASE c WHEN 0 THEN n WHEN 4 THEN 34 ELSE 64 + n + 44 * ((n + 511) // 512) + CASE WHEN c = 2 THEN 0 ELSE 101 END END AS file_size, CASE WHEN c = 4 THEN 0 ELSE a END AS t_min, CASE WHEN c = 4 THEN 0 ELSE b END AS t_max,
+  CASE WHEN c = 4 THEN 0 ELSE b - a END AS duration_s, 0.0::DOUBLE AS max_altitude_m, CASE WHEN c IN (1, 2, 3) THEN '4.5' ELSE '—' END AS firmware, '—' AS frame,
+  CASE WHEN c IN (1, 2, 3) THEN '0x1234' ELSE '—' END AS device_id, CASE WHEN c IN (1, 2, 3) THEN '0x1234' ELSE '—' END AS serial_number, CASE WHEN c IN (1, 2, 3) THEN 7 ELSE 0 END AS log_counter FROM l""")
 def log_meta(spark, folder):
-    files = log_files(spark, folder)
-    from aerolake.sources.decode import decode_logs
     from aerolake.plans.timeline import log_span
-    rows = decode_logs(files)
+    from aerolake.sources.decode import decode_logs
+
+    files = cut(log_files(spark, folder))
+    rows = cut(decode_logs(files))  # decoded once, read by four parts
     return integrity.log_meta(files, integrity.verify_logs(files), metrics.scalar_metrics(rows), log_span(rows), H.health(rows))
 
 
@@ -110,16 +114,18 @@ def _run(spark, rows, mode: str = "append"):
     return spark.read.schema(rows.schema).parquet(f"{folder}/out")
 
 
-@query("stream_rolling_stats", """WITH w AS (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS s, value FROM events), m AS (SELECT max(ts) - INTERVAL 30 SECOND AS mark FROM events)
-SELECT event_type, epoch(s)::BIGINT AS w_start, min(value) AS v_min, max(value) AS v_max, round(avg(value), 6) AS v_mean, count(*) AS n FROM w, m GROUP BY event_type, s, mark HAVING s + INTERVAL 1 HOUR <= mark""")
+@query("stream_rolling_stats", """WITH w AS (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS s, value FROM events)
+SELECT event_type, epoch(s)::BIGINT AS w_start, min(value) AS v_min, max(value) AS v_max, round(avg(value), 6) AS v_mean, count(*) AS n FROM w GROUP BY event_type, s""")
 def stream_rolling_stats(spark, folder):
     done = _run(spark, landing.rolling_stats(_stream(spark, folder), ["event_type"], "value", "1 hour"))
+    given = table(spark, folder, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    done = done.unionByName(landing.remaining_windows(given, done, ["event_type"], "value", "1 hour"))
     return done.select("event_type", F.unix_seconds("w_start").alias("w_start"), "v_min", "v_max", F.round("v_mean", 6).alias("v_mean"), "n")
 
 
 @query("stream_arm_regions", f"""WITH {EV}, a AS (SELECT log_id, seq, t, event_type = 'signup' AS is_on FROM ev WHERE event_type IN ('signup', 'purchase')),
 b AS (SELECT *, lag(is_on) OVER (PARTITION BY log_id ORDER BY t, seq) AS was FROM a), c AS (SELECT *, lead(t) OVER (PARTITION BY log_id ORDER BY t, seq) AS nt FROM b WHERE is_on <> coalesce(was, FALSE))
-SELECT log_id, t AS t_start, nt AS t_end FROM c WHERE is_on AND nt IS NOT NULL""")
+SELECT c.log_id, c.t AS t_start, coalesce(c.nt, e.t_end) AS t_end FROM c JOIN (SELECT log_id, max(t) AS t_end FROM a GROUP BY log_id) e ON e.log_id = c.log_id WHERE is_on""")
 def stream_arm_regions(spark, folder):
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
@@ -127,9 +133,61 @@ def stream_arm_regions(spark, folder):
     try:
         armed = F.when(F.col("event_type") == "signup", F.lit(1)).otherwise(F.lit(0)).cast("bigint")
         from suite.fleet import MICROS
-        rows = _stream(spark, folder).where("event_type IN ('signup', 'purchase')").select(
-            F.col("user_id").cast("string").alias("log_id"), F.lit("ARM").alias("msg"), F.lit(None).cast("int").alias("instance"), F.col("event_id").alias("seq"),
-            (F.expr(MICROS) / F.lit(1e10)).alias("t"), F.create_map(F.lit("ArmState"), armed).alias("ints"), F.create_map().cast("map<string,double>").alias("reals"))
-        return _run(spark, landing.live_arm_regions(rows))
+
+        def records(given):
+            return given.where("event_type IN ('signup', 'purchase')").select(
+                F.col("user_id").cast("string").alias("log_id"), F.lit("ARM").alias("msg"), F.lit(None).cast("int").alias("instance"), F.col("event_id").alias("seq"),
+                (F.expr(MICROS) / F.lit(1e10)).alias("t"), F.create_map(F.lit("ArmState"), armed).alias("ints"), F.create_map().cast("map<string,double>").alias("reals"))
+
+        closed = _run(spark, landing.live_arm_regions(records(_stream(spark, folder))))
+        batch = records(table(spark, folder, "events"))
+        span = batch.groupBy("log_id").agg(F.min("t").alias("t_first"), F.max("t").alias("t_last"))
+        return closed.unionByName(landing.remaining_regions(batch, span, closed))
     finally:
         spark.conf.set(key, before)
+
+
+@query("stream_alerts", f"""WITH {EV}, a AS (SELECT log_id, t, 'ERROR' AS severity, 'EKF' AS rule FROM ev WHERE event_type = 'error' AND k % 4 = 0 AND k % 3 > 0
+  UNION ALL SELECT log_id, t, 'WARNING', 'GPS_HDOP' FROM ev WHERE event_type = 'click' AND value % 4 > 2.5 UNION ALL SELECT log_id, t, 'WARNING', 'GPS_SATS' FROM ev WHERE event_type = 'click' AND k % 20 < 6
+  UNION ALL SELECT log_id, t, 'WARNING', 'VIBE_X' FROM ev WHERE event_type = 'error' AND value % 45 > 30 UNION ALL SELECT log_id, t, 'WARNING', 'VIBE_Y' FROM ev WHERE event_type = 'error' AND k / 2.5::DOUBLE > 30
+  UNION ALL SELECT log_id, t, 'ERROR', 'ERR' FROM ev WHERE event_type = 'error')
+SELECT DISTINCT log_id, rule, severity, CAST(floor(t / 60) AS BIGINT) * 60 AS "minute" FROM a""")
+def stream_alerts(spark, folder):
+    """Live alerts over the streamed records; which record of a minute fires is open, that one does is not."""
+    rows = landing.event_time(records_of(named(_stream(spark, folder)), "XKF4", "GPS", "VIBE", "ERR"))
+    fired = _run(spark, landing.live_alerts(rows))
+    return fired.select("log_id", "rule", "severity", F.unix_seconds("minute").alias("minute"))
+
+
+@query("markdown_heads", f"""WITH {EV}, m AS (SELECT log_id, arg_min(k, seq) FILTER (WHERE k % 5 = 1) AS fk, count(*) FILTER (WHERE k % 5 = 2) AS nf, count(*) AS n, any_value(user_id) AS u FROM ev WHERE event_type = 'error' GROUP BY log_id)
+SELECT log_id, '# Investigation Evidence' || chr(10) || chr(10) || '**Log:** ' || log_id || '  ' || chr(10) || '**Aircraft:** unit ' || u || ' · ' || CASE WHEN fk IS NULL THEN 'UNKNOWN' ELSE 'ArduCopter V4.5.' || (fk % 7) END || ' · '
+  || CASE WHEN nf > 0 THEN 'QUAD/X' ELSE '—' END || '  ' || chr(10) || '**Verification:** ' || CASE u % 3 WHEN 0 THEN 'VERIFIED' WHEN 1 THEN 'WRONG KEY' ELSE 'UNKNOWN' END || '  ' || chr(10)
+  || CASE WHEN u % 4 > 0 THEN '**Assessment:** GOOD (' || (80 + u % 4) || '/100)  ' || chr(10) ELSE '' END || '**Snapshots:** ' || n || chr(10) || chr(10) || '---' || chr(10) AS text FROM m""")
+def markdown_heads(spark, folder):
+    faults = of_type(events(spark, folder), "error")
+    known = H.firmware_and_frame(telemetry(spark, folder, "MSG"))
+    number = F.col("log_id").cast("bigint")
+    meta = known.select("log_id", F.concat(F.lit("unit "), "log_id").alias("serial_number"), "firmware", F.when(F.col("frame") != "UNKNOWN", F.col("frame")).alias("frame_type"))
+    verified = known.select("log_id", F.when(number % 3 == 0, "VERIFIED").when(number % 3 == 1, "WRONG_KEY").otherwise("UNKNOWN").alias("state"), F.array().cast("array<string>").alias("basis"))
+    report = known.select("log_id", F.lit("GOOD").alias("verdict"), F.when(number % 4 > 0, (80 + number % 4).cast("double")).alias("quality_score"))
+    marks = faults.select("log_id", F.col("seq").alias("cursor"))
+    return evidence.header_markdown(meta, report, verified, marks).select("log_id", "text")
+
+
+@query("json_flights", f"""WITH {EV}, m AS (SELECT log_id, arg_min(k, seq) FILTER (WHERE k % 5 = 1) AS fk, count(*) AS n, any_value(user_id) AS u FROM ev WHERE event_type = 'error' GROUP BY log_id)
+SELECT log_id, 'unit ' || u AS serial_number, CASE WHEN fk IS NULL THEN 'UNKNOWN' ELSE 'ArduCopter V4.5.' || (fk % 7) END AS firmware, CASE u % 3 WHEN 0 THEN 'VERIFIED' WHEN 1 THEN 'WRONG_KEY' ELSE 'UNKNOWN' END AS verification_state,
+  CASE u % 3 WHEN 0 THEN 'VERIFIED' WHEN 1 THEN 'WRONG KEY' ELSE 'UNKNOWN' END AS label, n AS snapshot_count, n AS snapshots_held FROM m""")
+def json_flights(spark, folder):
+    """Fields read back from the JSON documents; all parts of a log are counted."""
+    known = H.firmware_and_frame(telemetry(spark, folder, "MSG"))
+    number = F.col("log_id").cast("bigint")
+    meta = known.select("log_id", F.concat(F.lit("unit "), "log_id").alias("serial_number"), "firmware", F.col("frame").alias("frame_type"))
+    verified = known.select("log_id", F.when(number % 3 == 0, "VERIFIED").when(number % 3 == 1, "WRONG_KEY").otherwise("UNKNOWN").alias("state"), F.array().cast("array<string>").alias("basis"))
+    marks = of_type(events(spark, folder), "error").select("log_id", F.col("seq").alias("cursor"), "t")
+    none = marks.where("false").select("log_id", F.col("cursor").alias("finding_no"))
+    documents = evidence.report_json(meta, known.select("log_id", F.lit("GOOD").alias("verdict")), none, marks, verified)
+    read = lambda path: F.get_json_object("json", path)
+    held = F.size(F.from_json(read("$.snapshots"), "array<struct<cursor:bigint>>"))
+    return documents.groupBy("log_id").agg(
+        *[F.max(read(f"$.flight.{c}")).alias(c) for c in ("serial_number", "firmware", "verification_state")], F.max(read("$.flight.verification.label")).alias("label"),
+        F.max(read("$.snapshot_count")).cast("bigint").alias("snapshot_count"), F.sum(F.when(held > 0, held)).alias("snapshots_held"))

@@ -27,7 +27,11 @@ PARAMETERS = ("1 + k % 4", "1000 + k", "1900 + k", "1450 + k", "k % 30", "1000 +
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """The events table with the names the operators use."""
-    return table(spark, folder, "events").select(
+    return named(table(spark, folder, "events"))
+
+
+def named(rows: DataFrame) -> DataFrame:
+    return rows.select(
         F.col("user_id").cast("string").alias("log_id"), F.col("event_id").alias("seq"),
         (F.expr(MICROS) / F.lit(1e10)).alias("t"), "event_type", "value",
         F.regexp_extract("props", "[0-9]+", 0).cast("bigint").alias("k"), "user_id")
@@ -91,7 +95,11 @@ def telemetry(spark: SparkSession, folder: str, *only: str) -> DataFrame:
     branches and the branch's own condition reaches the scan, as on a table partitioned by
     ``msg``. ``only`` names the messages wanted.
     """
-    rows = events(spark, folder)
+    return records_of(events(spark, folder), *only)
+
+
+def records_of(rows: DataFrame, *only: str) -> DataFrame:
+    """The same of any rows with the columns of ``events()``, streamed ones too."""
     branches = []
     for msg, condition, instance, ints, reals, texts in MESSAGES:
         if only and msg not in only:

@@ -9,7 +9,7 @@ from aerolake.plans import events as E
 from aerolake.plans import health as H
 from aerolake.plans import metrics, timeline, trajectory
 from suite.fleet import EV, EVENTS, MODES, REGIONS, SPAN, events, lake, span, telemetry
-from suite.registry import query
+from suite.registry import ORACLES, query
 
 KEY = ["log_id"]
 
@@ -197,6 +197,15 @@ def flight_metrics(spark, folder):
     return metrics.flight_metrics(lake(spark, folder))
 
 
+@query("metric_values", f"""SELECT m.*, coalesce(p.distance_m, 0) AS distance_m, coalesce(c.n, 0) AS event_count, coalesce(c.modes, 0) AS mode_change_count,
+  CAST(floor(m.duration_s / 60) AS BIGINT) || ':' || lpad(CAST(CAST(floor(m.duration_s) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS duration_text
+FROM ({ORACLES["scalar_metrics"]}) m LEFT JOIN ({ORACLES["path_length"]}) p ON p.log_id = m.log_id
+LEFT JOIN (SELECT log_id, count(*) AS n, count(*) FILTER (WHERE type = 'MODE') AS modes FROM ({ORACLES["unified_events"]}) GROUP BY log_id) c ON c.log_id = m.log_id""")
+def metric_values(spark, folder):
+    found = metrics.flight_metrics(lake(spark, folder))
+    return found.drop("altitude_text", "speed_text", "distance_text").withColumn("distance_m", F.round("distance_m", 4))
+
+
 @query("parameters", f"""WITH {EV}, p AS (SELECT log_id, seq, CASE k % 8 WHEN 0 THEN 'RCMAP_ROLL' WHEN 1 THEN 'RC1_MIN' WHEN 2 THEN 'RC1_MAX' WHEN 3 THEN 'RC1_TRIM'
   WHEN 4 THEN 'RC1_DZ' WHEN 5 THEN 'MOT_PWM_MIN' WHEN 6 THEN 'RC1_REVERSED' ELSE 'MOT_PWM_MAX' END AS name,
   CAST(CASE k % 8 WHEN 0 THEN 1 + k % 4 WHEN 1 THEN 1000 + k WHEN 2 THEN 1900 + k WHEN 3 THEN 1450 + k WHEN 4 THEN k % 30 WHEN 5 THEN 1000 + k WHEN 6 THEN k % 2 ELSE 1900 + k END AS DOUBLE) AS value

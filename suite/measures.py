@@ -256,6 +256,11 @@ def signal_catalog(spark, folder):
     return K.signal_catalog(telemetry(spark, folder, *CATALOG_MESSAGES))
 
 
+@query("message_keys", f"WITH {CATALOG} SELECT log_id, string_agg(DISTINCT key, ',' ORDER BY key) AS keys FROM sig GROUP BY log_id")
+def message_keys(spark, folder):
+    return K.message_keys(telemetry(spark, folder, *CATALOG_MESSAGES)).withColumn("keys", F.concat_ws(",", "keys"))
+
+
 @query("signal_search", f"WITH {CATALOG} SELECT * FROM sig WHERE contains(lower(key || '.' || col), 'att.des')")
 def signal_search(spark, folder):
     return K.search_signals(K.signal_catalog(telemetry(spark, folder, *CATALOG_MESSAGES)), " ATT.Des ")

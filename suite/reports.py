@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from aerolake.functions import fixed
 from aerolake.plans import analytics as A
+from aerolake.plans import health as H
 from aerolake.plans import snapshot as S
 from aerolake.plans import timeline
 from aerolake.session import cut
 from suite.fleet import EV, EVENTS, MODES, REGIONS, SPAN, events, lake, of_type, span, telemetry
+from suite.flights import ANOMALIES
 from suite.registry import query
 
 KEY = ["log_id"]
@@ -265,3 +267,72 @@ def snapshots(spark, folder):
 def telemetry_rows(spark, folder):
     marks = of_type(events(spark, folder), "error").select("log_id", F.col("seq").alias("cursor"), "t")
     return S.telemetry_rows(lake(spark, folder, "ATT", "MODE", "POS", "BARO", "GPS"), marks)
+
+
+@query("motor_mean", f"""WITH {EV}, c AS (SELECT log_id, seq, t FROM ev WHERE event_type = 'error'), s AS (SELECT log_id, k % 3 AS inst, t, value % 100 AS v FROM ev WHERE event_type = 'click'),
+x AS (SELECT c.*, m.inst FROM c JOIN (SELECT DISTINCT log_id, inst FROM s) m ON m.log_id = c.log_id),
+lo AS (SELECT x.*, s.t AS lt, s.v AS lv FROM x ASOF LEFT JOIN s ON s.log_id = x.log_id AND s.inst = x.inst AND s.t <= x.t),
+hi AS (SELECT lo.*, s.t AS ht, s.v AS hv FROM lo ASOF LEFT JOIN s ON s.log_id = lo.log_id AND s.inst = lo.inst AND s.t > lo.t)
+SELECT log_id, seq AS cursor, round(avg(CASE WHEN lt IS NULL THEN hv WHEN ht IS NULL OR lt = t THEN lv ELSE lv + (hv - lv) / (ht - lt) * (t - lt) END), 6) AS esc_avg FROM hi GROUP BY log_id, seq""")
+def motor_mean(spark, folder):
+    """Motor outputs of three instances, read off the clicks."""
+    rows = of_type(events(spark, folder), "click").select(
+        "log_id", F.lit("ESCX").alias("msg"), (F.col("k") % 3).cast("int").alias("instance"), "seq", "t", F.create_map().cast("map<string,bigint>").alias("ints"),
+        F.create_map(F.lit("outpct"), F.col("value") % 100).alias("reals"), F.create_map().cast("map<string,string>").alias("texts"))
+    marks = of_type(events(spark, folder), "error").select("log_id", F.col("seq").alias("cursor"), "t")
+    return _rounded(S.motor_mean(rows, marks), 6, "esc_avg")
+
+
+# -- findings and verdict over a given table of oscillations -----------------------------------------
+
+OSC = """osc AS (SELECT s.log_id, a.axis, a.i, (CAST(s.log_id AS BIGINT) + a.i) % 4 = 0 AS detected, CASE WHEN CAST(s.log_id AS BIGINT) % 3 = 0 THEN 'CRITICAL' ELSE 'WARNING' END AS severity
+  FROM span s CROSS JOIN (VALUES ('roll', 0), ('pitch', 1), ('yaw', 2)) a(axis, i))"""
+FOUND = f"""{CARD}, {SATURATION}, {ANOMALIES[len(EV) + len(SPAN) + 4:]}, {OSC},
+found AS (SELECT log_id, severity, 'OSCILLATION' AS category, upper(axis[1]) || axis[2:] || ' oscillation' AS title, NULL::DOUBLE AS t_start, 0 AS rule, i AS rule_seq FROM osc WHERE detected
+  UNION ALL SELECT log_id, 'WARNING', 'TRACKING', 'Poor ' || axis || ' tracking', NULL, 1, CASE axis WHEN 'roll' THEN 0 WHEN 'pitch' THEN 1 ELSE 2 END FROM tracks WHERE score < 60
+  UNION ALL SELECT log_id, saturation_severity, 'SATURATION', 'Controller / actuator saturation', NULL, 2, 0 FROM sats WHERE saturation_severity <> 'OK'
+  UNION ALL SELECT log_id, CASE landing_class WHEN 'SEVERE' THEN 'CRITICAL' ELSE 'WARNING' END, 'LANDING', CASE landing_class WHEN 'SEVERE' THEN 'Severe landing' ELSE 'Hard landing' END, touchdown_t, 3, 0
+    FROM lands WHERE landed AND landing_class IN ('HARD', 'SEVERE')
+  UNION ALL SELECT log_id, 'WARNING', 'YAW', 'Excessive yaw correction', NULL, 4, 0 FROM yaws WHERE yaw_score < 60
+  UNION ALL SELECT log_id, severity, category, category || ' anomaly', t, CASE WHEN category = 'EKF' THEN 5 WHEN message LIKE 'Poor GPS%' THEN 6 WHEN category = 'GPS' THEN 7 WHEN category = 'VIBE' THEN 8
+    WHEN category = 'POWER' THEN 9 ELSE 10 END, CASE WHEN message = 'VibeY' THEN 1 ELSE 0 END FROM hits),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'ERROR' THEN 1 WHEN 'WARNING' THEN 2 WHEN 'INFO' THEN 3 ELSE 9 END, coalesce(t_start, 0), rule, rule_seq) AS finding_no FROM found)"""
+
+
+def _judged(spark, folder):
+    """(card, totals, oscillations, saturation, findings) with oscillations derived from the log's name."""
+    rows, windows = lake(spark, folder, *REPORT_MESSAGES), _windows(spark, folder)
+    totals, spans, split = cut(A.armed_totals(windows)), cut(span(spark, folder)), timeline.fleet_split(rows)
+    logs = spans.select("log_id")
+    errors, sticks = A.attitude_errors(rows, windows, split), A.stick_series(rows, windows, split)
+    track, smooth, landed = cut(A.tracking(errors)), cut(A.smoothness(sticks, totals, split)), cut(A.landing(rows, windows, totals, split))
+    yaw, saturated = cut(A.yaw_discipline(errors, sticks, logs)), cut(A.saturation(rows, windows, logs, split))
+    axes = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(i).alias("i")) for i, a in enumerate(("roll", "pitch", "yaw"))]))
+    number = F.col("log_id").cast("bigint")
+    osc = logs.select("log_id", axes.alias("a")).select("log_id", "a.axis", ((number + F.col("a.i")) % 4 == 0).alias("detected"), F.lit(2.5).alias("freq_hz"), F.lit(3.5).alias("amplitude_deg"),
+                                                        F.when(number % 3 == 0, "CRITICAL").otherwise("WARNING").alias("severity"))
+    found = cut(A.findings(osc, track, saturated, landed, yaw, H.anomalies(rows, spans)))
+    return A.scorecard(logs, track, smooth, yaw, landed), totals, osc, saturated, found
+
+
+@query("ranked_findings", f"WITH {FOUND} SELECT log_id, finding_no, severity, category, title, t_start FROM ranked")
+def ranked_findings(spark, folder):
+    return A.ranked_findings(_judged(spark, folder)[4]).select("log_id", "finding_no", "severity", "category", "title", "t_start")
+
+
+@query("first_findings", f"WITH {FOUND} SELECT log_id, finding_no, severity, category, title, t_start FROM ranked WHERE finding_no <= 20")
+def first_findings(spark, folder):
+    return A.top_findings(_judged(spark, folder)[4], 20).select("log_id", F.col("finding_no").cast("bigint").alias("finding_no"), "severity", "category", "title", "t_start")
+
+
+@query("quality_verdict", f"""WITH {FOUND}, stab AS (SELECT log_id, min(CASE WHEN NOT detected THEN 100.0 WHEN severity = 'CRITICAL' THEN 40.0 ELSE 70.0 END) AS stability FROM osc GROUP BY log_id),
+n AS (SELECT log_id, count(*) FILTER (WHERE severity = 'CRITICAL') AS crit, count(*) AS n FROM found GROUP BY log_id),
+q AS (SELECT c.log_id, coalesce(t.armed_s, 0) AS armed_s, coalesce(t.flight_count, 0) AS flight_count, coalesce(n.crit, 0) AS crit, coalesce(n.n, 0) AS n, b.stability, c.tracking_score, c.pilot_score, a.saturation_score,
+  (c.tracking_score * 0.3 + b.stability * 0.25 + a.saturation_score * 0.15 + coalesce(c.pilot_score * 0.3, 0)) / (0.7 + CASE WHEN c.pilot_score IS NULL THEN 0 ELSE 0.3 END) AS raw
+  FROM cards c LEFT JOIN totals t ON t.log_id = c.log_id LEFT JOIN stab b ON b.log_id = c.log_id LEFT JOIN sats a ON a.log_id = c.log_id LEFT JOIN n ON n.log_id = c.log_id),
+s AS (SELECT *, CASE WHEN armed_s > 0 AND tracking_score IS NOT NULL THEN CASE WHEN crit > 0 THEN least(raw, 55.0) ELSE raw END END AS score FROM q)
+SELECT log_id, round(score, 6) AS quality_score, CASE WHEN score IS NULL THEN 'NO DATA' WHEN score >= 85 THEN 'GOOD' WHEN score >= 70 THEN 'ACCEPTABLE' WHEN score >= 50 THEN 'MARGINAL' ELSE 'POOR' END AS verdict,
+  crit AS critical_findings, n AS finding_count, flight_count, round(stability, 6) AS stability FROM s""")
+def quality_verdict(spark, folder):
+    rows = A.quality(*_judged(spark, folder))
+    return rows.select("log_id", F.round("quality_score", 6).alias("quality_score"), "verdict", "critical_findings", "finding_count", "flight_count", F.round("stability", 6).alias("stability"))
