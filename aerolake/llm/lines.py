@@ -18,7 +18,7 @@ Defined results: a null text has no lines and stays null; lines without a word n
 a run and stay; order is by (doc_id, text hash, line), null doc_id first; rows with equal doc_id and text
 are one document, treated alike; overlapping copies within a text keep what the first one shows, so that
 a line repeated on end is cut down to its first lines; an empty table gives an empty table; other columns
-are carried along.
+are carried along, but for those named like the added ones (x_doc, x_key, x_lines, x_removed).
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aerolake.llm.tables import without
 from aerolake.session import cut
 
 MIN_WORDS = 50
@@ -55,7 +56,8 @@ def numbered_lines(docs: DataFrame, text: str = "text") -> DataFrame:
 def repeated_stretches(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
     """The lines that occur twice or more and stand in an unbroken stretch of at least ``min_words`` words; s_stretch names it."""
     lines = numbered_lines(docs, text)
-    often = lines.groupBy(F.col("s_id").alias("o_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("o_id")
+    # Written, so that the join has exchanges of its own on both sides, of which Spark splits a line that is very common.
+    often = cut(lines.groupBy(F.col("s_id").alias("o_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("o_id"))
     shared = lines.join(often, F.col("s_id") == F.col("o_id"), "left_semi").dropDuplicates(["s_doc", "s_key", "s_at"])
     whole = Window.partitionBy("s_doc", "s_key").orderBy("s_at")
     found = shared.withColumn("s_stretch", F.col("s_at") - F.row_number().over(whole))
@@ -124,8 +126,9 @@ def repeated_runs(ranked: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = head.join(at.withColumnRenamed("s_at", "e_at"), ["s_doc", "s_key", "e_at"]).select(
         "s_doc", "s_key", "s_at", "m", "head", F.struct("s_id", F.get("ranks", F.col("k")).alias("r")).alias("tail"))
     place = F.struct(F.col("s_doc"), F.col("s_key"), F.col("s_at"))
-    first = found.groupBy(F.col("m").alias("f_m"), F.col("head").alias("f_head"), F.col("tail").alias("f_tail")).agg(
-        F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    found = cut(found)
+    first = cut(found.groupBy(F.col("m").alias("f_m"), F.col("head").alias("f_head"), F.col("tail").alias("f_tail")).agg(
+        F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     same = (F.col("m") == F.col("f_m")) & (F.col("head") == F.col("f_head")) & (F.col("tail") == F.col("f_tail"))
     later = found.join(first, same).filter(place != F.col("first"))
     return later.select("s_doc", "s_key", "s_at", "m", F.col("first.s_doc").alias("f_doc"), F.col("first.s_key").alias("f_key"), F.col("first.s_at").alias("f_at"))
@@ -141,13 +144,14 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text
 
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
     """The documents with later copies of repeated runs deleted from their texts, and ``x_removed``, the number of lines."""
+    docs = without(docs, ("x_doc", "x_key", "x_lines", "x_removed"))
     gone = deleted_lines(docs, min_words, text)
     joined = docs.join(gone, (document_place() == F.col("x_doc")) & (document_key(text) == F.col("x_key")), "left")
     listed = F.coalesce(F.col("x_lines"), F.array().cast("array<int>"))
 
-    def without(lines: Column) -> Column:
+    def others(lines: Column) -> Column:
         kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), listed)
         return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
-    cleaned = F.when(F.col("x_lines").isNull(), F.col(text)).otherwise(F.transform(F.array(F.split(F.col(text), "\n", -1)), without)[0])
+    cleaned = F.when(F.col("x_lines").isNull(), F.col(text)).otherwise(F.transform(F.array(F.split(F.col(text), "\n", -1)), others)[0])
     return joined.select(*[cleaned.alias(c) if c == text else docs[f"`{c}`"] for c in docs.columns], F.size(listed).cast("long").alias("x_removed"))
