@@ -127,7 +127,7 @@ def test_chats(spark):
     given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1))
     made = {r.conv_id: r for r in chat.format_chats(given).withColumn("parsed", chat.parse_chat(F.col("c_text"))).withColumn("learnt", chat.learnt_text(F.col("c_segments"))).collect()}
     assert [(p.role, p.text) for p in made[1].parsed] == [(r or "", t or "") for _, _, r, t in sorted(rows[: len(tricky) * 5], key=lambda x: x[1])]
-    assert made[1].learnt == "".join(t or "" for _, _, r, t in rows if r == "assistant")
+    assert made[1].learnt == "".join(t or "" for c, _, r, t in rows if c == 1 and r == "assistant")
     assert [p.role for p in made[2].parsed] == ["assistant", "user", "user"] and made[2].c_first_break == 0
     assert made[3].c_valid and made[3].c_first_break is None and not made[None].c_valid
     assert chat.format_chats(given.limit(0)).count() == 0
