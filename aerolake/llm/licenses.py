@@ -1,9 +1,15 @@
 """License scans: units of text against license templates by the Dice coefficient over word bigrams.
 
-Units are the lines of a text and, where blank lines divide it, its paragraphs of several lines. A unit
-with n distinct bigrams can reach a coefficient t only with templates of n * t / (2 - t) to
-n * (2 - t) / t distinct bigrams, so that only those are compared. Everything is one narrow projection
-of array expressions; the templates are a literal of known size.
+Units are the lines of a text, its paragraphs of several lines (the whole text where no blank line divides it)
+and windows over its words, whatever lines they are on: for every template, those that begin at one of its
+bigrams and have up to ``WINDOW_SIZES`` sizes around its own. A unit with n distinct bigrams can reach a coefficient t only with
+templates of n * t / (2 - t) to n * (2 - t) / t distinct bigrams, and only if it holds n * t / (2 - t) of a
+template's n bigrams. A text that does not hold them is done after one look at its bigrams. Everything is one
+narrow projection of array expressions; the templates are a literal of known size.
+
+A window counts beside lines and paragraphs unless more than half of it lies in another match of no lower coefficient,
+or all of it in a match of the same license; in return a line or paragraph gives way to a better window of its license
+around it. The ``unit`` of a window is its words in lower case.
 
 Defined results: a null or empty text has no units and no license; a unit of fewer than two words has no
 bigrams and matches nothing; of templates with the same coefficient the first by name wins; repeated
@@ -13,6 +19,11 @@ named l_matches, which is replaced.
 
 from __future__ import annotations
 
+import json
+import math
+from collections import Counter
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +32,9 @@ from aerolake.llm.tables import without
 MIN_DICE = 0.8
 #: The literal of templates may hold so many bigrams in all.
 MAX_TEMPLATE_BIGRAMS = 200_000
+#: Sizes of windows per template, from the least to the most words that can reach the coefficient.
+WINDOW_SIZES = 9
+PARAGRAPH_BREAK = r"(?>\r\n|\r|\n)(?:[ \t]*(?>\r\n|\r|\n))+"
 
 #: Wording of public licenses and of the notices that name them.
 TEMPLATES = {
@@ -72,49 +86,139 @@ TEMPLATES = {
 
 def bigrams(unit: Column) -> Column:
     """Distinct 64-bit hashes of the neighbouring words of a unit, lower-cased letters and digits."""
-    words = F.transform(F.array(unit), lambda u: F.split(F.trim(F.regexp_replace(F.lower(u), r"[^\p{L}\p{N}]+", " ")), " "))
-    grams = F.transform(words, lambda w: F.zip_with(
-        F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
-    return F.array_distinct(grams[0])
+    return F.array_distinct(_let(_words(unit), _pairs))
+
+
+def _words(unit: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(F.lower(unit), r"[^\p{L}\p{N}]+", " ")), " ")
+
+
+def _pairs(words: Column) -> Column:
+    """64-bit hashes of the neighbouring words, in the order of the text."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.xxhash64(a, b))
 
 
-def template_literal(spark: SparkSession, templates: dict[str, tuple[str, ...]], min_dice: float) -> Column:
-    """array<struct<name, low, high, grams>> of all templates as a literal; refuses more than ``MAX_TEMPLATE_BIGRAMS``."""
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def template_rows(spark: SparkSession, templates: dict[str, tuple[str, ...]], min_dice: float) -> list[dict]:
+    """What a scan needs of every template; refuses more than ``MAX_TEMPLATE_BIGRAMS``.
+
+    A unit that reaches ``min_dice`` holds at least ``need`` of a template's n bigrams, so that it holds one of any
+    n - need + 1 of them: ``keys`` are as many of the rarest. Rare is what few templates hold, and what is long; a bad
+    guess costs time and no matches.
+    """
     listed = [(name, text) for name, texts in sorted(templates.items()) for text in texts]
-    rows = spark.range(1).select(F.array(*[bigrams(F.lit(text)) for _, text in listed]).alias("g")).first()["g"]
-    if sum(map(len, rows)) > MAX_TEMPLATE_BIGRAMS:
+    texts = F.array(*[F.lit(text) for _, text in listed])
+    made = spark.range(1).select(F.transform(texts, lambda t: F.struct(_words(t).alias("w"), _pairs(_words(t)).alias("g"))).alias("t")).first()["t"]
+    common = Counter(g for t in made for g in set(t["g"]))
+    if sum(len(set(t["g"])) for t in made) > MAX_TEMPLATE_BIGRAMS:
         raise ValueError(f"license templates of more than {MAX_TEMPLATE_BIGRAMS} bigrams")
-    made = []
-    for (name, _), grams in zip(listed, rows):
-        if grams:
-            low, high = len(grams) * min_dice / (2 - min_dice), len(grams) * (2 - min_dice) / min_dice
-            made.append(F.struct(F.lit(name).alias("name"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.array(*map(F.lit, grams)).alias("grams")))
-    return F.array(*made)
+    rows = []
+    for (name, _), t in zip(listed, made):
+        length = {g: len(a) + len(b) for g, a, b in zip(t["g"], t["w"], t["w"][1:])}
+        if not length:
+            continue
+        n, span, least = len(length), len(t["g"]), min_dice / (2 - min_dice)
+        need = max(1, math.ceil(n * least - 1e-9))
+        rare = sorted(length, key=lambda g: (common[g], -length[g], g))
+        low, high = max(1, math.floor(span * least)), math.ceil(span / least)
+        sizes = range(low, high + 1) if high - low < WINDOW_SIZES else [round(low * (high / low) ** (i / (WINDOW_SIZES - 1))) for i in range(WINDOW_SIZES)] + [span]
+        rows.append({"name": name, "low": n * least, "high": n / least, "need": need, "reach": high, "grams": list(length), "keys": rare[: n - need + 1], "sizes": sorted(set(sizes))})
+    return rows
+
+
+_TEMPLATE = "array<struct<name:string,low:double,high:double,need:int,reach:int,grams:array<bigint>,keys:array<bigint>,sizes:array<int>>>"
 
 
-def scan(docs: DataFrame, text: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, min_dice: float = MIN_DICE) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", templates: dict[str, tuple[str, ...]] | None = None, min_dice: float = MIN_DICE) -> DataFrame:
     """The documents without their text, with ``l_matches``: array<struct<dice, license, unit>>, best template of every
-    matching unit in the order of the units."""
+    matching line and paragraph in the order of the text, then the windows that match beside them."""
     docs = without(docs, ["l_matches"])
-    known = template_literal(docs.sparkSession, templates, min_dice)
-    units = F.concat(
-        F.split(F.col(text), r"[\r\n]+"),
-        F.filter(F.split(F.col(text), r"\r?\n(?:[ \t]*\r?\n)+"), lambda p: F.contains(p, F.lit("\n")) & F.contains(F.col(text), F.lit("\n\n"))))
-    units = F.filter(F.coalesce(units, F.array().cast("array<string>")), lambda u: F.contains(u, F.lit(" ")))
-
-    def best(unit: Column) -> Column:
-        def dice(grams: Column) -> Column:
-            near = F.filter(known, lambda t: (F.size(grams) >= t["low"]) & (F.size(grams) <= t["high"]))
-            found = F.transform(near, lambda t: F.struct(
-                (2.0 * F.size(F.array_intersect(grams, t["grams"])) / (F.size(grams) + F.size(t["grams"]))).alias("dice"), t["name"].alias("license")))
-            return F.filter(found, lambda m: m["dice"] >= min_dice)
-
-        hits = F.flatten(F.transform(F.array(bigrams(unit)), dice))
-        return F.struct(F.array_sort(hits, lambda a, b: F.when(a["dice"] > b["dice"], -1).when(a["dice"] < b["dice"], 1).when(
-            a["license"] < b["license"], -1).when(a["license"] > b["license"], 1).otherwise(0)).alias("hits"), unit.alias("unit"))
-
-    matched = F.filter(F.transform(units, best), lambda u: F.size(u["hits"]) > 0)
-    made = F.transform(matched, lambda u: F.struct(u["hits"][0]["dice"].alias("dice"), u["hits"][0]["license"].alias("license"), u["unit"].alias("unit")))
+    rows = template_rows(docs.sparkSession, TEMPLATES if templates is None else templates, min_dice)
+    known = F.from_json(F.lit(json.dumps(rows)), _TEMPLATE)
+    keys = sorted({k for r in rows for k in r["keys"]})
+    whole = F.coalesce(F.col(text), F.lit(""))
+
+    def ranked(hits: Column) -> Column:
+        """Hits (dice, license, ...) with the best first."""
+        return F.array_sort(hits, lambda a, b: F.when(a["dice"] > b["dice"], -1).when(a["dice"] < b["dice"], 1).when(
+            a["license"] < b["license"], -1).when(a["license"] > b["license"], 1).otherwise(0))
+
+    def dice_of(grams: Column, t: Column) -> Column:
+        return 2.0 * F.size(F.array_intersect(grams, t["grams"])) / (F.size(grams) + F.size(t["grams"]))
+
+    def matched(units: Column, joint: str, near: Column) -> Column:
+        """(dice, license, unit, a, b) of the matching units; the unit holds the bigrams a to b - 1 of the text."""
+        def best(unit: Column, i: Column) -> Column:
+            def hits(grams: Column) -> Column:
+                fit = F.filter(near, lambda t: (F.size(grams) >= t["low"]) & (F.size(grams) <= t["high"]))
+                return F.filter(F.transform(fit, lambda t: F.struct(dice_of(grams, t).alias("dice"), t["name"].alias("license"))), lambda m: m["dice"] >= min_dice)
+
+            return F.struct(ranked(_let(bigrams(unit), hits)).alias("hits"), unit.alias("unit"), i.alias("i"))
+
+        def placed(u: Column) -> Column:
+            before = _words(F.concat(F.array_join(F.slice(units, 1, u["i"]), joint), F.lit(" ")))
+            a = F.size(F.filter(before, lambda w: w != ""))
+            hit = u["hits"][0]
+            return F.struct(hit["dice"].alias("dice"), hit["license"].alias("license"), u["unit"].alias("unit"), a.alias("a"),
+                            (a + F.size(_words(u["unit"])) - 1).alias("b"))
+
+        return F.transform(F.filter(F.transform(units, best), lambda u: F.size(u["hits"]) > 0), placed)
+
+    def windows(words: Column, pairs: Column, t: Column) -> Column:
+        """The matching windows of one template: they begin at one of its bigrams and have one of its sizes."""
+        def sized(at: Column) -> Column:
+            starts = F.filter(at, lambda p, k: F.when(k + t["need"] <= F.size(at), F.get(at, k + t["need"] - 1) - p < t["reach"]).otherwise(False))
+            ends = F.flatten(F.transform(starts, lambda p: F.transform(t["sizes"], lambda s: F.struct(p.alias("a"), F.least(p + s, F.size(pairs)).alias("b")))))
+            dices = F.transform(ends, lambda w: F.struct(dice_of(F.array_distinct(F.slice(pairs, w["a"] + 1, w["b"] - w["a"])), t).alias("dice"), w["a"].alias("a"), w["b"].alias("b")))
+            found = F.transform(F.filter(dices, lambda w: w["dice"] >= min_dice), lambda w: F.struct(
+                w["dice"].alias("dice"), t["name"].alias("license"), F.array_join(F.slice(words, w["a"] + 1, w["b"] - w["a"] + 1), " ").alias("unit"), w["a"].alias("a"), w["b"].alias("b")))
+            return beside(F.slice(found, 1, 0), found)
+
+        places = F.transform(pairs, lambda g, i: F.when(F.array_contains(t["grams"], g), i))
+        return _let(F.array_compact(places), sized)
+
+    def beside(taken: Column, found: Column) -> Column:
+        """``taken`` and the windows of ``found``, best and longest first, that do not lie for more than half in a match
+        of no lower coefficient or as a whole in a match of the same license."""
+        order = F.array_sort(F.transform(found, lambda w: F.struct((-w["dice"]).alias("x"), (w["a"] - w["b"]).alias("y"), w["a"].alias("z"), w["license"].alias("n"), w.alias("w"))))
+
+        def add(acc: Column, o: Column) -> Column:
+            w = o["w"]
+            covers = F.exists(acc, lambda v: (2 * (F.least(v["b"], w["b"]) - F.greatest(v["a"], w["a"])) > w["b"] - w["a"]) & (
+                (v["dice"] >= w["dice"]) | ((v["license"] == w["license"]) & (v["a"] <= w["a"]) & (w["b"] <= v["b"]))))
+            return F.when(covers, acc).otherwise(F.concat(acc, F.array(w)))
+
+        return F.reduce(order, taken, add)
+
+    def matches(words: Column, pairs: Column, near: Column) -> Column:
+        lines = F.split(whole, r"[\r\n]+")
+        paragraphs = F.split(whole, PARAGRAPH_BREAK)
+        several = lambda p: F.rlike(F.btrim(p, F.lit(" \t\r\n")), F.lit(r"[\r\n]"))
+        units = F.concat(_let(lines, lambda x: matched(x, "\n", near)), _let(paragraphs, lambda x: F.filter(matched(x, "\n", near), lambda u: several(u["unit"]))))
+        found = F.flatten(F.transform(near, lambda t: windows(words, pairs, t)))
+
+        def told(taken: Column, all_: Column) -> Column:
+            added = F.array_sort(F.transform(F.slice(all_, F.size(taken) + 1, F.size(all_)), lambda w: F.struct(w["a"].alias("at"), w.alias("w"))))["w"]
+            parts = lambda u: F.exists(added, lambda w: (w["license"] == u["license"]) & (w["dice"] > u["dice"]) & (w["a"] <= u["a"]) & (u["b"] <= w["b"]))
+            return F.concat(F.filter(taken, lambda u: ~parts(u)), added)
+
+        return _let(units, lambda taken: _let(_let(found, lambda f: beside(taken, f)), lambda all_: told(taken, all_)))
+
+    def searched(words: Column) -> Column:
+        def look(pairs: Column) -> Column:
+            met = F.array_distinct(F.filter(pairs, lambda g: g.isin(keys)))
+            near = _let(met, lambda m: F.filter(known, lambda t: F.arrays_overlap(t["keys"], m) & (F.size(F.array_intersect(t["grams"], pairs)) >= t["need"])))
+            return _let(near, lambda n: F.when(F.size(n) > 0, matches(words, pairs, n)))
+
+        return _let(_pairs(words), look)
+
+    found = F.coalesce(_let(_words(whole), searched), F.array().cast("array<struct<dice:double,license:string,unit:string,a:int,b:int>>"))
+    made = F.transform(found, lambda m: F.struct(m["dice"].alias("dice"), m["license"].alias("license"), m["unit"].alias("unit")))
     return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != text], made.alias("l_matches"))
 
 

@@ -210,6 +210,26 @@ def test_license_matches(spark):
         assert got[d].best_dice == pytest.approx(best)
 
 
+MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+
+
+def test_licenses_stand_in_any_layout(spark):
+    """A wrapped grant between any kind of line breaks, and notices inside a line or across lines."""
+    rows = [(1, f"Title\n\n{MIT_GRANT}\n\nmore"), (2, f"Title\n\n{MIT_GRANT}\n\nmore".replace("\n", "\r\n")), (3, f"Title\n \n{MIT_GRANT}\n\t\nmore"), (4, MIT_GRANT),
+            (5, f"some code here\n# {MIT_GRANT}\nand more of it".replace("\n", "\n# ")), (6, "see the file for details Released under the MIT License. and a lot of other words behind it"),
+            (7, "a line before\nthis one is Licensed under\nthe Apache License, Version 2.0.\nand one behind"), (8, "under the sea, permission to use the software\n" * 3),
+            (9, "released\tunder\tthe\tMIT\tlicense"), (10, "x Licensed under CC BY-NC 4.0. y z\n" * 3)]
+    got = {r.doc_id: r.l_matches for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: [m.license for m in x] for d, x in got.items()} == {
+        **dict.fromkeys((1, 2, 3, 4, 5, 6, 9), ["MIT"]), 7: ["Apache-2.0"], 8: [], 10: ["CC-BY-NC-4.0"] * 3}
+    assert all(m.dice == pytest.approx(1.0) for d in (1, 2, 3, 4, 6, 7, 9) for m in got[d]) and got[5][0].dice > 0.9
+
+
 def test_base_spans():
     rng = random.Random(4)
     alphabet = "a.@-+_% 01234567890123456789()\n"
