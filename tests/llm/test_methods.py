@@ -230,6 +230,19 @@ def test_licenses_stand_in_any_layout(spark):
     assert all(m.dice == pytest.approx(1.0) for d in (1, 2, 3, 4, 6, 7, 9) for m in got[d]) and got[5][0].dice > 0.9
 
 
+def test_license_bodies_are_known(spark):
+    import textwrap
+
+    bsd = licenses.NOTICES["BSD-2-Clause"][2:6]
+    mpl = licenses.TEMPLATES["MPL-2.0"][20]
+    rows = [(1, "Copyright (c) 2020, A. Person\n\n" + "\n\n".join(textwrap.fill(p, 70) for p in bsd)), (2, textwrap.fill(licenses.NOTICES["MIT"][-1], 60)),
+            (3, textwrap.fill(licenses.NOTICES["ISC"][-1].upper(), 60)), (4, textwrap.fill(mpl, 72)), (5, "\n".join(textwrap.fill(p, 72) for p in licenses.TEMPLATES["GPL-3.0"])),
+            (6, "\n\n".join(textwrap.fill(p, 72) for p in licenses.TEMPLATES["GPL-2.0"])), (7, " ".join(licenses.NOTICES["BSD-3-Clause"][-1].split()))]
+    got = {r.doc_id: r for r in licenses.scan_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: r.licenses for d, r in got.items()} == {1: "BSD-2-Clause", 2: "MIT", 3: "ISC", 4: "MPL-2.0", 5: "GPL-3.0", 6: "GPL-2.0", 7: "BSD-3-Clause"}
+    assert got[5].n_matches > 60 and all(r.best_dice == pytest.approx(1.0) for r in got.values())
+
+
 def test_base_spans():
     rng = random.Random(4)
     alphabet = "a.@-+_% 01234567890123456789()\n"
