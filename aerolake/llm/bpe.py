@@ -120,6 +120,7 @@ class Encoder:
             self.reused_chunks += 1
             return found
         self.encoded_chunks += 1
+        self.learn(set(words))  # a full memory may have been cleared since the text's words were learnt
         found = self.word_pieces(words)
         self.chunk_bytes += 2 * len(chunk) + len(found[1]) + len(found[2]) + 300
         if self.chunk_bytes > MAX_CHUNK_BYTES:
@@ -173,7 +174,6 @@ def encode_text(encoder: Encoder, text: bytes, at: list[int]) -> tuple:
             got = encoder.join(before, piece, body)
             if got is None:
                 return encoder.whole(text.decode())
-            encoder.learn(set(body))
             out.append(got)
         out.append(encoder.inner(chunk, body))
         before = body or before

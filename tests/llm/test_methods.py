@@ -279,6 +279,22 @@ def test_joins_are_repaired(tokenizer):
         assert list(map(int, got[1].split())) == ids and got[2].decode() == tokenizer.decode(ids, skip_special_tokens=False), (t, at)
 
 
+@pytest.mark.parametrize("most", [0, 1, 3, 20])
+def test_a_full_memory_of_words_loses_none(tokenizer, monkeypatch, most):
+    """Cuts inside CRLF, blank lines and double spaces, with a memory that holds next to no words."""
+    monkeypatch.setattr(bpe, "MAX_WORDS", most)
+    encoder = bpe.Encoder(queries.vocabulary())
+    rng = random.Random(most)
+    for _ in range(60):
+        t = "".join(f"w{rng.randrange(500)}" + rng.choice(["\r\n", "\n\n", "  ", " "]) for _ in range(rng.randrange(1, 60)))
+        data = t.encode()
+        inside = [i for i in range(1, len(data)) if data[i - 1 : i + 1].isspace()]
+        at = sorted({*rng.sample(inside, len(inside) // 2), *(rng.randrange(1, len(data)) for _ in range(4))})
+        got = bpe.encode_text(encoder, data, at)
+        ids = tokenizer.encode(t, add_special_tokens=False).ids
+        assert list(map(int, got[1].split())) == ids and got[2].decode() == tokenizer.decode(ids, skip_special_tokens=False), (t, at)
+
+
 def test_cuts_are_content_defined():
     rng = random.Random(2)
     body = "".join(rng.choice("abcdefg ") for _ in range(30_000)).encode()
