@@ -32,7 +32,14 @@ _DIGIT = re.compile(r"[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?: ?[A-Z0-9]){11,30}))")
+#: Lengths of account numbers by country.
+_IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 "
+    "GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 "
+    "MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 "
+    "TN24 TR26 UA29 VA22 VG24 XK20 "
+).split()}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 #: Score of a confirmed span without context, and what a context word adds.
@@ -94,6 +101,26 @@ def _ssn(found: str) -> bool:
     return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """The spans that ``mod97`` confirms: from each start the one of its country's length or else the longest.
+
+    They end where a word ends, since the words behind an account number (a bank code, a currency, a year) may look
+    like more of it."""
+    m = _IBAN.search(text)
+    while m:
+        ends, end = [], m.end(1)
+        while end > m.end():
+            if not (text[end : end + 1].isascii() and text[end : end + 1].isalnum()):
+                ends.append((end, text[m.start() : end].replace(" ", "")))
+            end = text.rfind(" ", m.end(), end)
+        fixed = _IBAN_LENGTHS.get(m.group()[:2])
+        ends = [e for e in sorted(ends, key=lambda e: len(e[1]) != fixed) if len(e[1]) >= 15]
+        end = next((e for e, found in ends if mod97(found)), m.end())
+        if end > m.end():
+            yield m.start(), end
+        m = _IBAN.search(text, end)
+
+
 def proposals(text: str) -> Iterator[tuple[str, int, int]]:
     """Confirmed spans of all kinds, each kind from left to right without overlap."""
     for a, b in emails(text):
@@ -112,9 +139,8 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _PHONE.finditer(text):
             if 8 <= len(_digits(m.group())) <= 15:
                 yield "phone", *m.span()
-    for m in _IBAN.finditer(text):
-        if mod97(m.group().replace(" ", "")):
-            yield "iban", *m.span()
+    for a, b in ibans(text):
+        yield "iban", a, b
     for m in _SSN.finditer(text):
         if _ssn(m.group()):
             yield "ssn", *m.span()

@@ -253,6 +253,18 @@ def test_base_spans():
     assert pii.redacted("to a@b.cd now", pii.scored("to a@b.cd now")) == "to <email> now"
 
 
+@pytest.mark.parametrize("before, iban, behind", [
+    ("IBAN ", "DE89 3704 0044 0532 0130 00", " BIC COBADEFFXXX"), ("", "DE89370400440532013000", " USD 500"), ("pay ", "GB82WEST12345698765432", " 2024"),
+    ("", "DE89370400440532013000", " Usd"), ("REF AB12 ", "GB82 WEST 1234 5698 7654 32", " A B C D E F G H I J K L M N O P Q R S T"), ("", "DE89370400440532013000", ""),
+    ("", "NO9386011117947", " 12 NOK")])
+def test_ibans_end_before_the_words_behind_them(before, iban, behind):
+    text_ = before + iban + behind
+    assert [(a, b) for k, a, b in pii.proposals(text_) if k == "iban"] == [(len(before), len(before) + len(iban))]
+    assert list(pii.ibans(f"{iban} {iban}")) == [(0, len(iban)), (len(iban) + 1, 2 * len(iban) + 1)]
+    wrong = iban[:-1] + str((int(iban[-1]) + 1) % 10)
+    assert not [s for s in pii.ibans(before + wrong) if s[1] == len(before + wrong)]
+
+
 def test_personal_data_query(spark, documents):
     got = {r.doc_id: r.base_sha256 for r in queries.op8_pii(spark, FOLDER).collect()}
     assert got == {d: brute.sha(",".join(f"{k}:{a}:{b}" for k, a, b in brute.base_pii(t or ""))) for d, t in documents}
