@@ -60,12 +60,16 @@ d AS (SELECT h.log_id, a.ident, a.rid, sqrt((6378137.0 * cos(radians(h.lat)) * r
 n AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY m, rid) AS r FROM d)
 SELECT h.log_id, round(h.lat, 7) AS lat, round(h.lon, 7) AS lon, n.ident, round(n.m, 2) AS airport_m, n.ident AS airport_ident, round(n.m, 2) AS runway_m FROM h LEFT JOIN n ON n.log_id = h.log_id AND n.r = 1""")
 def geo_facts(spark, folder):
+    found = _geography(spark, folder)
+    return found.select("log_id", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), "ident", F.round("airport_m", 2).alias("airport_m"),
+                        "airport_ident", F.round("runway_m", 2).alias("runway_m"))
+
+
+def _geography(spark, folder):
     places = _near_home(spark, folder)
     strips = places.select(F.col("ident").alias("airport_ident"), F.lit("10/28").alias("designator"), F.col("lat").alias("le_lat"), F.col("lon").alias("le_lon"),
                            F.col("lat").alias("he_lat"), F.col("lon").alias("he_lon"), "row")
-    found = aviation.geo_facts(cut(best_trajectory(lake(spark, folder, *TRACK_MESSAGES))), places, strips)
-    return found.select("log_id", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), "ident", F.round("airport_m", 2).alias("airport_m"),
-                        "airport_ident", F.round("runway_m", 2).alias("runway_m"))
+    return aviation.geo_facts(cut(best_trajectory(lake(spark, folder, *TRACK_MESSAGES))), places, strips)
 
 
 @query("snapshot_store", f"""WITH {EV}, s AS (SELECT log_id, seq AS cursor, 1 AS n_at, FALSE AS deleted, 'OPEN' AS status FROM ev WHERE event_type = 'error'
@@ -79,12 +83,40 @@ def snapshot_store(spark, folder):
     return S.latest_snapshots(added.unionByName(changed).drop("k"))
 
 
+#: From the state that weighs most; a flight whose files differ has the worst of their states.
+STATES = ("INVALID", "CORRUPTED", "WRONG_KEY", "PARTIAL", "UNSIGNED", "UNKNOWN", "VERIFIED")
+
+
+def _verified(spark, folder):
+    """(log_id, state, basis, device_id) of every flight; a user's events may fill several files."""
+    files = integrity.verify_logs(log_files(spark, folder)).withColumn("file", F.col("log_id")).withColumn("log_id", F.substring_index("log_id", "-", 1))
+    rank = F.array_position(F.array(*map(F.lit, STATES)), F.col("state"))
+    return files.groupBy("log_id").agg(F.min_by(F.struct("state", "basis", "device_id"), F.struct(rank, "file")).alias("v")).select("log_id", "v.*")
+
+
+def _report_parts(spark, folder):
+    """The tables that a report is made of: meta, report, findings, snapshots, verified, geo."""
+    parts = analytics.FlightAnalytics(cut(telemetry(spark, folder, *REPORT_MESSAGES)))
+    verified = cut(_verified(spark, folder))
+    known = H.firmware_and_frame(telemetry(spark, folder, "MSG")).withColumn("frame_type", F.when(F.col("frame") != "UNKNOWN", F.col("frame")))
+    meta = parts.span.join(known, "log_id", "left").join(verified.select("log_id", F.col("device_id").alias("serial_number")), "log_id", "left")
+    marks = of_type(events(spark, folder), "error").select("log_id", F.col("seq").alias("cursor"), "t")
+    taken = S.snapshots(lake(spark, folder), marks, verified)
+    geo = _geography(spark, folder).select("log_id", "lat", "lon", "ident", "name", "airport_m", "designator", "airport_ident", "runway_m")
+    report = parts.report()
+    logs = parts.span.select("log_id")
+    return cut(meta), cut(report), cut(analytics.ranked_findings(parts.findings)), cut(taken), logs.join(verified.select("log_id", "state", "basis"), "log_id"), cut(geo)
+
+
 @query("report_documents")
 def report_documents(spark, folder):
-    rows = cut(telemetry(spark, folder, *REPORT_MESSAGES))
-    parts = analytics.FlightAnalytics(rows)
-    meta = parts.span.join(H.firmware_and_frame(telemetry(spark, folder, "MSG")), "log_id", "left")
-    return evidence.report_json(meta, parts.report(), analytics.ranked_findings(parts.findings))
+    return evidence.report_json(*_report_parts(spark, folder))
+
+
+@query("report_blocks")
+def report_blocks(spark, folder):
+    """The Markdown reports with all their sections, over the same parts as the JSON documents."""
+    return evidence.report_markdown(*_report_parts(spark, folder))
 
 
 @query("log_meta", f"""WITH {BASE}, l AS (SELECT log_id, any_value(user_id) % 5 AS c, 178 + 57 * count(*) AS n, min(us) / 1e6 AS a, max(us) / 1e6 AS b FROM e GROUP BY log_id)

@@ -257,6 +257,12 @@ def control_matrix(spark, folder):
     return _rounded(found, 6, "demand", "actual", "delta")
 
 
+@query("control_matrix_pilot")
+def control_matrix_pilot(spark, folder):
+    """The same rows with the pilot's sticks, which the SQL of ``control_matrix`` does not state."""
+    return _rounded(S.control_matrix(_panel(spark, folder)), 6, "pilot", "demand", "actual", "delta")
+
+
 @query("snapshots")
 def snapshots(spark, folder):
     marks = of_type(events(spark, folder), "error").select("log_id", F.col("seq").alias("cursor"), "t")

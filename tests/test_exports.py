@@ -37,6 +37,31 @@ def test_report_blocks_are_written_in_order(spark):
     assert tuple(row) == ("VERIFIED", "0")
 
 
+def test_registered_reports_hold_all_parts(spark):
+    import __spark_entry__ as contract
+
+    folder = "/root/testdata/sf0.001"
+    taken = {str(r.user_id): r["count"] for r in spark.read.parquet(f"{folder}/events.parquet").where("event_type = 'error'").groupBy("user_id").count().collect()}
+    read = lambda path: F.get_json_object("json", path)
+    documents = contract.queries()["report_documents"](spark, folder).select(
+        "log_id", "part", read("$.snapshot_count").cast("long").alias("n"), F.size(F.from_json(read("$.snapshots"), "array<struct<cursor:bigint>>")).alias("held"),
+        read("$.flight.verification_state").alias("state"), read("$.geographic_context.ident").alias("ident"), read("$.flight_assessment.verdict").alias("verdict")).collect()
+    heads = {r.log_id: r for r in documents if r.part == 0}
+    assert {d: r.n for d, r in heads.items() if r.n} == taken and set(taken) <= set(heads)
+    assert {d: sum(r.held for r in documents if r.log_id == d and r.held > 0) for d in taken} == taken
+    assert {r.state for r in heads.values()} == {"UNSIGNED", "UNKNOWN", "PARTIAL", "INVALID", "CORRUPTED"} and any(r.ident for r in heads.values()) and all(r.verdict for r in heads.values())
+    blocks = contract.queries()["report_blocks"](spark, folder).groupBy("section").agg(F.count("text").alias("n"), F.countDistinct("log_id").alias("logs")).collect()
+    assert {r.section: r.logs for r in blocks if r.section in (-1, 0, 2)} == dict.fromkeys((-1, 0, 2), len(heads))
+    assert {r.section: r.n for r in blocks}[4] == sum(taken.values()) and {r.section for r in blocks} == {-1, 0, 1, 2, 3, 4}
+
+
+def test_pilot_column_is_kept(spark):
+    import __spark_entry__ as contract
+
+    whole, given = (contract.queries()[n](spark, "/root/testdata/sf0.001") for n in ("control_matrix_pilot", "control_matrix"))
+    assert whole.where("pilot IS NOT NULL").count() > 0 and whole.drop("pilot").exceptAll(given).count() == 0
+
+
 def test_signals_are_written_as_csv(spark):
     table = spark.createDataFrame([("a", 1, 0.5), ("a", 2, None), ("b", 1, 2.5)], "log_id string, row long, v double")
     folder = tempfile.mkdtemp(prefix="run-")
