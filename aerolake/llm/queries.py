@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolake.llm import bpe, chat, decontaminate, licenses, lines, minhash, ngram, oracles, pii, quality, warc
-from aerolake.session import ship_code
+from aerolake.llm import bpe, bytebpe, chat, decontaminate, licenses, lines, minhash, ngram, oracles, periodic, pii, prefixes, quality, warc
+from aerolake.session import cut, ship_code
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -80,6 +83,44 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
                        F.sha2("learnt", 256).alias("loss_sha256"), F.length("c_text").cast("long").alias("formatted_chars"))
 
 
+def rank_file() -> tuple[str, str]:
+    """The byte-level rank file and the pattern that splits text before it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bytebpe.encode(_read(spark, folder, "documents").select("doc_id", "text"), *rank_file(), with_ids=False)
+
+
+def repeated_words(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The words of the rebuilt texts: from some word on, the text repeats a stretch of itself (a text without doc_id stays)."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    i = np.arange(n)
+    return np.where(i >= a, a + (i - a) % (1 + (n - a) // (3 + g % 8)), i)
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.collapse(_read(spark, folder, "documents").select("doc_id", "text"), arrange=repeated_words)
+    rows = F.array_join(F.transform("p_runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    best = [F.col(f"p_best.{c}").alias(c) for c in ("start", "length", "period")]
+    exponent = F.floor((F.col("p_best.length") * 1000 - F.col("p_best.length") * 1000 % F.col("p_best.period")) / F.col("p_best.period"))
+    return found.select("doc_id", F.size("p_runs").cast("long").alias("n_runs"), *best, exponent.cast("long").alias("exponent_milli"),
+                        F.sha2(rows, 256).alias("runs_sha256"), F.sha2("p_text", 256).alias("collapsed_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    given = _read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    members = cut(given.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id")).distinct())
+    turns = cut(prefixes.turn_hashes(given))
+    return prefixes.prefix_trie(*prefixes.rooted(members, turns, 100, F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6), order=["part", "pos"])
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,5 +128,5 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_near_duplicates, op3_lm_score, op4_quality_rules, op5_line_dedup, op6_warc, op7_bpe, op8_pii,
-                                   op9_decontamination, op10_chat_format, pipeline)}
+                                   op9_decontamination, op10_chat_format, op11_byte_bpe, op12_periodic_runs, op13_prefix_trie, pipeline)}
 ORACLES = {"op4_quality_rules": oracles.QUALITY, "op9_decontamination": oracles.LEAKS, "op10_chat_format": oracles.CHATS}
