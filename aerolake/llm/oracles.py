@@ -40,3 +40,22 @@ s AS (SELECT *, CASE role WHEN 'system' THEN '[SYS] ' || safe || ' [/SYS]' WHEN
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length(made))::BIGINT AS formatted_chars FROM s GROUP BY conv_id"""
+
+#: The checksum of a number's digits is a fold over bits, table-free.
+TRIE = r"""WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+  sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn, length(coalesce(text, ''))::BIGINT AS chars FROM conversations WHERE conv_id IS NOT NULL),
+m AS (SELECT c, c - c % 100 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+  lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 6 AS h
+  FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT m.c, 0 AS part, t.pos, t.turn, t.chars FROM m JOIN t ON t.c = m.base AND t.pos <= m.h UNION ALL SELECT m.c, 1, t.pos, t.turn, t.chars FROM m JOIN t ON t.c = m.c AND t.pos > m.h),
+s AS (SELECT c, turn, chars, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS d FROM r),
+l AS (SELECT m.c, coalesce(list(s.turn ORDER BY s.d) FILTER (s.turn IS NOT NULL), []) AS turns, coalesce(list(s.chars ORDER BY s.d) FILTER (s.turn IS NOT NULL), []) AS chars FROM m LEFT JOIN s USING (c) GROUP BY m.c),
+p AS (SELECT c, d, array_to_string(turns[1:d], ',') AS k, CASE WHEN d > 0 THEN array_to_string(turns[1:d - 1], ',') END AS up, CASE WHEN d > 0 THEN chars[d] ELSE 0 END AS chars, d = len(turns) AS ends
+  FROM (SELECT c, turns, chars, unnest(range(0, len(turns) + 1)) AS d FROM l)),
+n AS (SELECT k, d, min(up) AS up, min(c) AS rep, count(*) AS n, (count(*) - 1) * min(chars) AS saved, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '') AS ended FROM p GROUP BY k, d),
+kids AS (SELECT up AS k, d - 1 AS d, count(*) AS n FROM n WHERE d > 0 GROUP BY ALL),
+f AS (SELECT n.*, coalesce(kids.n, 0) AS n_children FROM n LEFT JOIN kids ON kids.k = n.k AND kids.d = n.d),
+below AS (SELECT p.k, p.d, sum((f.n_children = 0)::BIGINT) AS leaves, sum(f.saved) AS saved FROM f JOIN p AS q ON q.c = f.rep AND q.d = f.d JOIN p ON p.c = f.rep AND p.d <= f.d GROUP BY p.k, p.d)
+SELECT f.rep AS conv_id, f.d::BIGINT AS depth, up.rep AS parent_conv_id, f.n::BIGINT AS n_convs, f.n_children::BIGINT AS n_children, below.leaves::BIGINT AS n_leaves, below.saved::BIGINT AS saved_tokens,
+  sha256(f.ended) AS ends_sha256
+FROM f JOIN below ON below.k = f.k AND below.d = f.d LEFT JOIN f AS up ON up.k = f.up AND up.d = f.d - 1"""

@@ -129,4 +129,4 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_near_duplicates, op3_lm_score, op4_quality_rules, op5_line_dedup, op6_warc, op7_bpe, op8_pii,
                                    op9_decontamination, op10_chat_format, op11_byte_bpe, op12_periodic_runs, op13_prefix_trie, pipeline)}
-ORACLES = {"op4_quality_rules": oracles.QUALITY, "op9_decontamination": oracles.LEAKS, "op10_chat_format": oracles.CHATS}
+ORACLES = {"op4_quality_rules": oracles.QUALITY, "op9_decontamination": oracles.LEAKS, "op10_chat_format": oracles.CHATS, "op13_prefix_trie": oracles.TRIE}
