@@ -13,6 +13,9 @@ from aerolake.operators.ordered import Ordered, null_safe_join
 # Windows are broadcast only below these measured sizes; beyond them the as-of way is used.
 BROADCAST_WINDOWS = 200_000
 BROADCAST_WINDOWS_PER_KEY = 32
+# Levels of the dyadic grid: cells of 2^-4 to 2^12 of the time unit. Longer windows take several of the largest cells, so
+# that no cell holds more than about an hour of one signal.
+FINEST_LEVEL, COARSEST_LEVEL = -4, 12
 
 
 def merge_windows(windows: DataFrame, keys: Sequence[str], start: str, end: str,
@@ -154,3 +157,28 @@ def windows_around(df: DataFrame, cursors: DataFrame, keys: Sequence[str], ts: s
     pairs = null_safe_join(rows, marks, [*keys, "_tile"], "inner")
     near = (F.col(ts) >= F.col("cursor_t") - before) & (F.col(ts) <= F.col("cursor_t") + after)
     return pairs.where(near).drop("_tile")
+
+
+def pairs_in_windows(points: DataFrame, windows: DataFrame, keys: Sequence[str], ts: str,
+                     start: str, end: str) -> DataFrame:
+    """All (point, window) pairs of a key with start <= t <= end; windows overlap as they like and have any width.
+
+    Every window lies on the level of a dyadic grid whose cells are as wide as itself, so that it touches two cells
+    at most; one wider than the largest cell touches as many of those as it needs. A point is copied once for each level
+    that a window of its key has, and meets the windows of its cell by an equi-join on (key, level, cell). The pairs
+    looked at are those of windows at most three times as wide, and the cells of a hot key are spread over all tasks.
+
+    Columns of ``windows`` that are no keys follow those of ``points``. NULL keys match each other; points without a
+    time and windows without a border or with the end before the start meet nothing.
+    """
+    a, b, t = F.col(start).cast("double"), F.col(end).cast("double"), F.col(ts).cast("double")
+    fine, coarse = F.lit(float(FINEST_LEVEL)), F.lit(float(COARSEST_LEVEL))
+    level = F.when(a < b, F.ceil(F.log2(b - a)).cast("double")).otherwise(fine)
+    placed = windows.where(a <= b).withColumn("_level", F.greatest(fine, F.least(coarse, level)))
+    cell = F.pow(F.lit(2.0), "_level")
+    cells = F.sequence(F.floor(a / cell), F.floor(b / cell))
+    placed = placed.withColumn("_cell", F.explode(cells))
+    levels = placed.select(*keys, "_level").distinct()
+    copies = null_safe_join(points.where(t.isNotNull()), levels, keys, "inner").withColumn("_cell", F.floor(t / cell))
+    met = null_safe_join(copies, placed, [*keys, "_level", "_cell"], "inner")
+    return met.where((t >= a) & (t <= b)).drop("_level", "_cell")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aerolake.functions import columns as C
 from aerolake.functions import fixed
-from aerolake.operators.intervals import within_windows
+from aerolake.operators.intervals import pairs_in_windows, within_windows
 from aerolake.operators.ordered import null_safe_join
 from aerolake.operators.setops import minus_keys
 from aerolake.schema import KEY
@@ -78,16 +78,45 @@ def finding_preset(category: Column) -> Column:
     return C.pick(category, fixed.CATEGORY_PRESET)
 
 
-def evidence_windows(findings: DataFrame, span: DataFrame, around: float = 6.0) -> DataFrame:
-    """Plot window of each finding: its time plus and minus ``around``, else the log's span."""
-    rows = null_safe_join(findings, span.select(*KEY, "t_first", "t_last"), KEY, "left")
-    start = F.when(F.col("t_start").isNotNull(), F.col("t_start") - around).otherwise(F.col("t_first"))
-    end = F.when(F.col("t_start").isNotNull(), F.col("t_start") + around).otherwise(F.col("t_last"))
+def signal_spans(telemetry: DataFrame, signals: DataFrame) -> DataFrame:
+    """(log_id, finding_no, t_first, t_last): times of the records that hold the signals of a finding."""
+    source = [*KEY, "msg", "instance"]
+    spans = telemetry.where(F.col("t").isNotNull()).groupBy(*source).agg(F.min("t").alias("t_first"), F.max("t").alias("t_last"))
+    met = null_safe_join(signals.select(*source, "finding_no").distinct(), spans, source, "inner")
+    return met.groupBy(*KEY, "finding_no").agg(F.min("t_first").alias("t_first"), F.max("t_last").alias("t_last"))
+
+
+def evidence_windows(findings: DataFrame, spans: DataFrame, around: float = 6.0) -> DataFrame:
+    """Plot window of each finding: its time plus and minus ``around``, else the span of its own signals
+    (``signal_spans``), else the first second of the log."""
+    on = [*KEY, "finding_no"]
+    rows = null_safe_join(findings, spans.select(*on, "t_first", "t_last"), on, "left")
+    timed = F.col("t_start").isNotNull()
+    start = F.when(timed, F.col("t_start") - around).otherwise(F.coalesce("t_first", F.lit(0.0)))
+    end = F.when(timed, F.col("t_start") + around).otherwise(F.coalesce("t_last", F.lit(1.0)))
     rows = rows.withColumns({"w_start": start, "w_end": end})
     return rows.withColumn("w_end", F.when(F.col("w_end") <= F.col("w_start"), F.col("w_start") + 1.0)
                            .otherwise(F.col("w_end"))).drop("t_first", "t_last")
 
 
+def evidence_readings(telemetry: DataFrame, signals: DataFrame, windows: DataFrame) -> DataFrame:
+    """(log_id, finding_no, msg, instance, col, seq, t, value): what is plotted for every finding.
+
+    ``signals`` comes from ``finding_signals``, ``windows`` from ``evidence_windows``. Findings may stand seconds apart, so
+    their windows overlap; a reading is told once for each of them. Records meet windows before they are taken apart
+    into readings, and only the columns of the finding are taken out of them. Readings that are NULL are left out.
+    """
+    source = [*KEY, "msg", "instance"]
+    wanted = signals.groupBy(*source, "finding_no").agg(F.collect_set("col").alias("_cols"))
+    asked = null_safe_join(wanted, windows.select(*KEY, "finding_no", "w_start", "w_end"), [*KEY, "finding_no"], "inner")
+    records = telemetry.select(*source, "seq", "t", "ints", "reals")
+    met = pairs_in_windows(records, asked, source, "t", "w_start", "w_end")
+    value = lambda c: F.coalesce(F.col("reals")[c], F.col("ints")[c].cast("double"))
+    taken = F.filter(F.transform("_cols", lambda c: F.struct(c.alias("col"), value(c).alias("value"))), lambda r: r["value"].isNotNull())
+    rows = met.select(*KEY, "finding_no", "msg", "instance", "seq", "t", F.explode(taken).alias("_r"))
+    return rows.select(*KEY, "finding_no", "msg", "instance", "_r.col", "seq", "t", "_r.value")
+
+
 def visible_signals_table(signals: DataFrame, views: DataFrame, wanted: list[str]) -> DataFrame:
     """Signals side by side by position: row i has the i-th reading of every wanted signal.
 

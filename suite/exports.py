@@ -29,17 +29,52 @@ def _numbered_anomalies(spark, folder):
     return ranked.select("log_id", "finding_no", "category", F.col("t").alias("t_start"), F.array("category").alias("evidence"))
 
 
+EVIDENCE_MESSAGES = ("XKF4", "GPS", "VIBE", "BAT", "ERR")
+EVIDENCE = """m AS (SELECT * FROM (VALUES ('EKF', 'XKF4', 'SV', 0), ('EKF', 'XKF4', 'SP', 0), ('EKF', 'XKF4', 'SH', 0), ('EKF', 'XKF4', 'SM', 0), ('GPS', 'GPS', 'NSats', 0), ('GPS', 'GPS', 'HDop', 0),
+  ('VIBE', 'VIBE', 'VibeX', NULL), ('VIBE', 'VIBE', 'VibeY', NULL), ('VIBE', 'VIBE', 'VibeZ', NULL), ('POWER', 'BAT', 'Volt', NULL), ('POWER', 'BAT', 'Curr', NULL)) x(category, msg, col, inst))"""
+READINGS = """rd AS (SELECT log_id, seq, t, x.msg, x.col, CASE x.col WHEN 'SV' THEN value % 1.5 WHEN 'SP' THEN k / 80.0::DOUBLE WHEN 'SH' THEN 0.3 WHEN 'SM' THEN value % 0.9::DOUBLE WHEN 'NSats' THEN k % 20 WHEN 'HDop' THEN value % 4
+  WHEN 'VibeX' THEN value % 45 WHEN 'VibeY' THEN k / 2.5::DOUBLE WHEN 'VibeZ' THEN value % 20 WHEN 'Volt' THEN 10 + k / 30.0::DOUBLE ELSE value % 40 END AS value
+  FROM ev JOIN (SELECT DISTINCT msg, col FROM m) x ON ev.event_type = CASE x.msg WHEN 'GPS' THEN 'click' ELSE 'error' END)"""
+
+
+def _evidence(spark, folder, timed=True):
+    """(telemetry, findings, their signals) of the anomalies; without their times if asked so."""
+    found = cut(_numbered_anomalies(spark, folder))
+    if not timed:
+        found = found.withColumn("t_start", F.lit(None).cast("double"))
+    rows = lake(spark, folder, *EVIDENCE_MESSAGES)
+    return rows, found, cut(catalog.finding_signals(found, catalog.signal_catalog(rows)))
+
+
 @query("evidence_windows", f"""WITH {ANOMALIES} SELECT h.log_id, h.category, h.t - 6.0 AS w_start, h.t + 6.0 AS w_end FROM hits h""")
 def evidence_windows(spark, folder):
-    found = catalog.evidence_windows(_numbered_anomalies(spark, folder), span(spark, folder))
-    return found.select("log_id", "category", "w_start", "w_end")
+    rows, found, signals = _evidence(spark, folder)
+    return catalog.evidence_windows(found, catalog.signal_spans(rows, signals)).select("log_id", "category", "w_start", "w_end")
+
+
+@query("trend_windows", f"""WITH {ANOMALIES}, s AS (SELECT log_id, event_type, min(t) AS a, max(t) AS b FROM ev GROUP BY 1, 2)
+SELECT h.log_id, h.category, CASE WHEN h.category = 'ERR' THEN 0.0 ELSE s.a END AS w_start, CASE WHEN h.category = 'ERR' THEN 1.0 WHEN s.b <= s.a THEN s.a + 1.0 ELSE s.b END AS w_end
+FROM hits h JOIN s ON s.log_id = h.log_id AND s.event_type = CASE h.category WHEN 'GPS' THEN 'click' ELSE 'error' END""")
+def trend_windows(spark, folder):
+    """Windows of the same findings when they have no time: the span of what each finding's signals cover."""
+    rows, found, signals = _evidence(spark, folder, timed=False)
+    return catalog.evidence_windows(found, catalog.signal_spans(rows, signals)).select("log_id", "category", "w_start", "w_end")
+
+
+@query("evidence_readings", f"""WITH {ANOMALIES}, {EVIDENCE}, {READINGS} SELECT h.log_id, h.category, h.t AS t_start, rd.msg, rd.col, rd.seq, rd.t, round(rd.value, 9) AS value
+FROM hits h JOIN m ON m.category = h.category JOIN rd ON rd.log_id = h.log_id AND rd.msg = m.msg AND rd.col = m.col AND rd.t BETWEEN h.t - 6.0 AND h.t + 6.0""")
+def evidence_readings(spark, folder):
+    rows, found, signals = _evidence(spark, folder)
+    windows = catalog.evidence_windows(found, catalog.signal_spans(rows, signals))
+    readings = catalog.evidence_readings(rows, signals, windows)
+    named = readings.join(found.select("log_id", "finding_no", "category", "t_start"), ["log_id", "finding_no"])
+    return named.select("log_id", "category", "t_start", "msg", "col", "seq", "t", F.round("value", 9).alias("value"))
 
 
-@query("finding_signals", f"""WITH {ANOMALIES}, m AS (SELECT * FROM (VALUES ('EKF', 'XKF4', 'SV', 0), ('EKF', 'XKF4', 'SP', 0), ('EKF', 'XKF4', 'SH', 0), ('EKF', 'XKF4', 'SM', 0), ('GPS', 'GPS', 'NSats', 0), ('GPS', 'GPS', 'HDop', 0),
-  ('VIBE', 'VIBE', 'VibeX', NULL), ('VIBE', 'VIBE', 'VibeY', NULL), ('VIBE', 'VIBE', 'VibeZ', NULL), ('POWER', 'BAT', 'Volt', NULL), ('POWER', 'BAT', 'Curr', NULL)) x(category, msg, col, inst))
+@query("finding_signals", f"""WITH {ANOMALIES}, {EVIDENCE}
 SELECT h.log_id, h.category, m.msg, m.col, CAST(m.inst AS INTEGER) AS "instance", count(*) AS n FROM hits h JOIN m ON m.category = h.category GROUP BY ALL""")
 def finding_signals(spark, folder):
-    rows = telemetry(spark, folder, "XKF4", "GPS", "VIBE", "BAT", "ERR")
+    rows = telemetry(spark, folder, *EVIDENCE_MESSAGES)
     found = _numbered_anomalies(spark, folder)
     signals = catalog.finding_signals(found, catalog.signal_catalog(rows))
     return signals.join(found.select("log_id", "finding_no", "category"), ["log_id", "finding_no"]).groupBy(
