@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -118,10 +119,38 @@ def speed_3d(vn: Column, ve: Column, vd: Column) -> Column:
 
 # -- text --------------------------------------------------------------------------------------
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that it names several times: the value's expression stands in the plan once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fixed_text(value: Column, digits: int, plus: bool = False) -> Column:
-    """Decimal text; half-even at ties, as the decimal digits show them."""
-    sign = "+" if plus else ""
-    return F.format_string(f"%{sign}.{digits}f", F.bround(value, digits))
+    """Decimal text of the exact binary value, half-even where that lies between two texts: 0.35 is a little less than
+    its digits say and gives 0.3, 0.25 lies between and gives 0.2.
+
+    The fraction is counted in units of 2^-60, so that rounding is arithmetic of whole numbers; a fraction too small for
+    that is nowhere near a tie. Numbers too large to have such fractions are given as they are.
+    """
+    unit, shift = F.lit(Decimal(2**60)), 10**digits
+
+    def rounded(size: Column, scaled: Column) -> Column:
+        rest = scaled % unit
+        low = F.floor(size) * shift + ((scaled - rest) / unit).cast("bigint")
+        return low + ((rest * 2 > unit) | ((rest * 2 == unit) & (low % 2 == 1))).cast("bigint")
+
+    def written(total: Column) -> Column:
+        whole = F.floor((total - total % shift) / shift).cast("string")
+        return F.concat(whole, F.lit("."), F.lpad((total % shift).cast("string"), digits, "0")) if digits else whole
+
+    def text(v: Column) -> Column:
+        exact = F.abs(v) < float(2**53 // shift)
+        size = F.abs(F.when(exact, v).otherwise(0.0))
+        scaled = ((size - F.floor(size)) * 2.0**60).cast("bigint").cast("decimal(19,0)") * F.lit(Decimal(shift))
+        digits_text = bound(bound(scaled, lambda s: rounded(size, s)), written)
+        sign = F.when(v < 0, "-").otherwise("+" if plus else "")
+        return F.when(exact, F.concat(sign, digits_text)).otherwise(F.format_string(f"%{'+' if plus else ''}.{digits}f", v))
+
+    return bound(value.cast("double"), text)
 
 
 def minutes_seconds(seconds: Column) -> Column:

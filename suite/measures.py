@@ -45,6 +45,18 @@ def value_texts(spark, folder):
         C.signal_base(key).alias("base"), C.signal_instance(key).alias("inst"))
 
 
+@query("number_texts", """SELECT event_id, CASE WHEN abs(value * 1000) > 60000 THEN '⚠ ' || printf('%.0f', value * 1000) || ' m (suspect)' ELSE printf('%.1f', value * 1000) || ' m' END AS high,
+  CASE WHEN abs(value) > 60000 THEN '⚠ ' || printf('%.0f', value) || ' m (suspect)' ELSE printf('%.1f', value) || ' m' END AS low, CASE WHEN value * 10 >= 1000 THEN printf('%.2f', value * 10 / 1000) || ' km' ELSE printf('%.0f', value * 10) || ' m' END AS distance,
+  printf('%.1f', value) || ' m/s' AS speed, CASE WHEN event_id % 5 = 0 THEN '—' ELSE printf('%.1f', event_id / 20.0::DOUBLE) || ' m/s' END AS tie, printf('%.2f', -(event_id % 1000) / 200.0::DOUBLE) AS negative FROM events""")
+def number_texts(spark, folder):
+    """The texts of altitudes, distances and speeds, as they are read; every second one of ``tie`` looks like a tie."""
+    value, number = F.col("value"), F.col("event_id")
+    return table(spark, folder, "events").select(
+        "event_id", C.altitude_text(value * 1000).alias("high"), C.altitude_text(value).alias("low"), C.distance_text(value * 10).alias("distance"),
+        C.speed_text(value).alias("speed"), C.speed_text(F.when(number % 5 != 0, number / 20.0)).alias("tie"),
+        C.fixed_text(-(number % 1000) / 200.0, 2).alias("negative"))
+
+
 @query("speed_3d", "SELECT l_orderkey, l_linenumber, round(sqrt(l_quantity * l_quantity + l_discount * l_discount + l_tax * l_tax), 9) AS speed FROM lineitem")
 def speed_3d(spark, folder):
     rows = table(spark, folder, "lineitem")
