@@ -1,20 +1,22 @@
-"""License scans: units of text against license templates by the Dice coefficient over word bigrams.
-
-Units are the lines of a text, its paragraphs of several lines (the whole text where no blank line divides it)
-and windows over its words, whatever lines they are on: for every template, those that begin at one of its
-bigrams and have up to ``WINDOW_SIZES`` sizes around its own. A unit with n distinct bigrams can reach a coefficient t only with
-templates of n * t / (2 - t) to n * (2 - t) / t distinct bigrams, and only if it holds n * t / (2 - t) of a
-template's n bigrams. A text that does not hold them is done after one look at its bigrams. Everything is one
-narrow projection of array expressions; the templates are a literal of known size.
-
-A window counts beside lines and paragraphs unless more than half of it lies in another match of no lower coefficient,
-or all of it in a match of the same license; in return a line or paragraph gives way to a better window of its license
-around it. The ``unit`` of a window is its words in lower case.
-
-Defined results: a null or empty text has no units and no license; a unit of fewer than two words has no
-bigrams and matches nothing; of templates with the same coefficient the first by name wins; repeated
+"""License scans: windows of a text against license templates by the Dice coefficient over word bigrams.
+
+Any window of words may be a match, whatever lines it is on. From every place that holds a bigram of a template the
+window is walked on once, word by word, with running numbers of its distinct bigrams and of those it shares with the
+template, and the end with the best coefficient is kept (the nearest of equal ones). Of what bounds a coefficient of
+at least t by the sizes of both sides follows that a text must hold n * t / (2 - t) of a template's n bigrams, or it
+is done after one look at its bigrams; that so many must lie near a start; and that a walk ends after
+s * (2 - t) / t words, s being the template's length: a window that repeats itself beyond that is not looked at. No size
+in between is left out, and the work of a text grows with its length. Everything is one narrow projection of array
+expressions; the templates are a literal of known size.
+
+Windows that overlap are settled in two sweeps. In the order of the text (start, then the better, the longer and the
+first by name) a window goes if the kept ones of no lower coefficient that begin before it hold more than half of
+it; then from the end of the text a window goes if those before it and any one of no lower coefficient behind it do.
+
+Defined results: a null or empty text has no license; a text of fewer than two words has no bigrams and matches
+nothing; of templates with the same coefficient on the same words the first by name wins; repeated
 rows give a row each; an empty table gives an empty table; other columns are carried along, but for one
-named l_matches, which is replaced.
+named l_matches, which is replaced. The ``unit`` of a match is its words in lower case.
 """
 
 from __future__ import annotations
@@ -33,9 +35,8 @@ from aerolake.llm.tables import without
 MIN_DICE = 0.8
 #: The literal of templates may hold so many bigrams in all.
 MAX_TEMPLATE_BIGRAMS = 200_000
-#: Sizes of windows per template, from the least to the most words that can reach the coefficient.
-WINDOW_SIZES = 9
-PARAGRAPH_BREAK = r"(?>\r\n|\r|\n)(?:[ \t]*(?>\r\n|\r|\n))+"
+#: Matches are gathered in blocks of so many, so that adding one does not copy all before it.
+BLOCK = 256
 
 #: Notices that name public licenses, and the wording of the short ones.
 NOTICES = {
@@ -110,12 +111,8 @@ NOTICES = {
 TEMPLATES = {name: (*NOTICES.get(name, ()), *BODIES.get(name, ())) for name in sorted({*NOTICES, *BODIES})}
 
 
-def bigrams(unit: Column) -> Column:
-    """Distinct 64-bit hashes of the neighbouring words of a unit, lower-cased letters and digits."""
-    return F.array_distinct(_let(_words(unit), _pairs))
-
-
 def _words(unit: Column) -> Column:
+    """Lower-cased runs of letters and digits."""
     return F.split(F.trim(F.regexp_replace(F.lower(unit), r"[^\p{L}\p{N}]+", " ")), " ")
 
 
@@ -151,89 +148,99 @@ def template_rows(spark: SparkSession, templates: dict[str, tuple[str, ...]], mi
         n, span, least = len(length), len(t["g"]), min_dice / (2 - min_dice)
         need = max(1, math.ceil(n * least - 1e-9))
         rare = sorted(length, key=lambda g: (common[g], -length[g], g))
-        low, high = max(1, math.floor(span * least)), math.ceil(span / least)
-        sizes = range(low, high + 1) if high - low < WINDOW_SIZES else [round(low * (high / low) ** (i / (WINDOW_SIZES - 1))) for i in range(WINDOW_SIZES)] + [span]
-        rows.append({"name": name, "low": n * least, "high": n / least, "need": need, "reach": high, "grams": list(length), "keys": rare[: n - need + 1], "sizes": sorted(set(sizes))})
+        rows.append({"name": name, "need": need, "reach": math.ceil(span / least), "grams": list(length), "keys": rare[: n - need + 1]})
     return rows
 
 
-_TEMPLATE = "array<struct<name:string,low:double,high:double,need:int,reach:int,grams:array<bigint>,keys:array<bigint>,sizes:array<int>>>"
+_TEMPLATE = "array<struct<name:string,need:int,reach:int,grams:array<bigint>,keys:array<bigint>>>"
+_WINDOW = "struct<a:int,b:int,dice:double,license:string,held:int>"
+
+
+def _earlier(pairs: Column) -> Column:
+    """For every bigram of the text the place where it stood before, or -1."""
+    def linked(order: Column) -> Column:
+        return F.transform(order, lambda o, k: F.struct(o["i"].alias("i"), F.when(F.get(order, k - 1)["g"] == o["g"], F.get(order, k - 1)["i"]).otherwise(-1).alias("p")))
+
+    placed = F.array_sort(F.transform(pairs, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+    return F.array_sort(_let(placed, linked))["p"]
+
+
+def _windows(pairs: Column, earlier: Column, t: Column, min_dice: float) -> Column:
+    """The best window from every start for one template, if it reaches ``min_dice``; it holds the bigrams a to b - 1."""
+    def walked(p: Column, spots: Column) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            new = x["p"] < p
+            met = new & x["t"]
+            seen, shared = s["seen"] + new.cast("int"), s["shared"] + met.cast("int")
+            dice = 2.0 * shared / (F.size(t["grams"]) + seen)
+            better = met & (dice > s["dice"])
+            return F.struct((s["i"] + 1).alias("i"), seen.alias("seen"), shared.alias("shared"),
+                            F.when(better, s["i"] + 1).otherwise(s["b"]).alias("b"), F.when(better, dice).otherwise(s["dice"]).alias("dice"))
+
+        first = F.struct(p.alias("i"), F.lit(0).alias("seen"), F.lit(0).alias("shared"), p.alias("b"), F.lit(0.0).alias("dice"))
+        return F.reduce(F.slice(spots, p + 1, t["reach"]), first, step, lambda s: F.struct(
+            p.alias("a"), s["b"].alias("b"), s["dice"].alias("dice"), t["name"].alias("license"), F.lit(0).alias("held")))
+
+    def from_starts(spots: Column) -> Column:
+        def near(at: Column) -> Column:
+            starts = F.filter(at, lambda p, k: F.coalesce(F.get(at, k + t["need"] - 1) - p < t["reach"], F.lit(False)))
+            return F.filter(F.transform(starts, lambda p: walked(p, spots)), lambda w: w["dice"] >= min_dice)
+
+        return _let(F.array_compact(F.transform(spots, lambda x, i: F.when(x["t"], i))), near)
+
+    return _let(F.transform(pairs, lambda g, i: F.struct(F.get(earlier, i).alias("p"), F.array_contains(t["grams"], g).alias("t"))), from_starts)
+
+
+def _swept(windows: Column, held: Callable[[Column, Column], Column], live: Callable[[Column, Column], Column]) -> Column:
+    """The windows of which kept ones hold no more than half. ``held(active, w)`` is what they hold of one, ``live(v, w)``
+    tells whether a kept one can still meet windows from w on."""
+    none = F.array().cast(f"array<{_WINDOW}>")
+
+    def add(s: Column, w: Column) -> Column:
+        def decided(active: Column) -> Column:
+            def settled(n: Column) -> Column:
+                kept = F.struct(w["a"].alias("a"), w["b"].alias("b"), w["dice"].alias("dice"), w["license"].alias("license"), n.alias("held"))
+                full = F.size(s["block"]) >= BLOCK
+                return F.when(2 * n > w["b"] - w["a"], F.struct(s["done"].alias("done"), s["block"].alias("block"), active.alias("active"))).otherwise(F.struct(
+                    F.when(full, F.concat(s["done"], F.array(s["block"]))).otherwise(s["done"]).alias("done"),
+                    F.when(full, F.array(kept)).otherwise(F.concat(s["block"], F.array(kept))).alias("block"),
+                    F.concat(active, F.array(kept)).alias("active")))
+
+            return _let(held(active, w), settled)
+
+        return _let(F.filter(s["active"], lambda v: live(v, w)), decided)
+
+    start = F.struct(F.array().cast(f"array<array<{_WINDOW}>>").alias("done"), none.alias("block"), none.alias("active"))
+    return F.reduce(windows, start, add, lambda s: F.concat(F.flatten(s["done"]), s["block"]))
+
+
+def _settled(windows: Column, reach: Column) -> Column:
+    """The windows that stay after both sweeps, in the order of the text."""
+    def before(active: Column, w: Column) -> Column:
+        ends = F.transform(F.filter(active, lambda v: v["dice"] >= w["dice"]), lambda v: F.least(v["b"], w["b"]) - w["a"])
+        return F.coalesce(F.array_max(ends), F.lit(0))
+
+    def behind(active: Column, w: Column) -> Column:
+        rest = F.transform(F.filter(active, lambda v: v["dice"] >= w["dice"]), lambda v: F.least(v["b"], w["b"]) - F.greatest(v["a"], w["a"] + w["held"]))
+        return w["held"] + F.greatest(F.coalesce(F.array_max(rest), F.lit(0)), F.lit(0))
+
+    order = F.array_sort(F.transform(windows, lambda w: F.struct(w["a"].alias("a"), (-w["dice"]).alias("d"), (-w["b"]).alias("b"), w["license"].alias("n"), w.alias("w"))))["w"]
+    forth = _swept(order, before, lambda v, w: v["b"] > w["a"])
+    return F.reverse(_swept(F.reverse(forth), behind, lambda v, w: v["a"] < w["a"] + reach))
 
 
 def scan(docs: DataFrame, text: str = "text", templates: dict[str, tuple[str, ...]] | None = None, min_dice: float = MIN_DICE) -> DataFrame:
-    """The documents without their text, with ``l_matches``: array<struct<dice, license, unit>>, best template of every
-    matching line and paragraph in the order of the text, then the windows that match beside them."""
+    """The documents without their text, with ``l_matches``: array<struct<dice, license, unit>>, the matching windows in
+    the order of the text."""
     docs = without(docs, ["l_matches"])
     rows = template_rows(docs.sparkSession, TEMPLATES if templates is None else templates, min_dice)
     known = F.from_json(F.lit(json.dumps(rows)), _TEMPLATE)
     keys = sorted({k for r in rows for k in r["keys"]})
-    whole = F.coalesce(F.col(text), F.lit(""))
-
-    def ranked(hits: Column) -> Column:
-        """Hits (dice, license, ...) with the best first."""
-        return F.array_sort(hits, lambda a, b: F.when(a["dice"] > b["dice"], -1).when(a["dice"] < b["dice"], 1).when(
-            a["license"] < b["license"], -1).when(a["license"] > b["license"], 1).otherwise(0))
-
-    def dice_of(grams: Column, t: Column) -> Column:
-        return 2.0 * F.size(F.array_intersect(grams, t["grams"])) / (F.size(grams) + F.size(t["grams"]))
-
-    def matched(units: Column, joint: str, near: Column) -> Column:
-        """(dice, license, unit, a, b) of the matching units; the unit holds the bigrams a to b - 1 of the text."""
-        def best(unit: Column, i: Column) -> Column:
-            def hits(grams: Column) -> Column:
-                fit = F.filter(near, lambda t: (F.size(grams) >= t["low"]) & (F.size(grams) <= t["high"]))
-                return F.filter(F.transform(fit, lambda t: F.struct(dice_of(grams, t).alias("dice"), t["name"].alias("license"))), lambda m: m["dice"] >= min_dice)
-
-            return F.struct(ranked(_let(bigrams(unit), hits)).alias("hits"), unit.alias("unit"), i.alias("i"))
-
-        def placed(u: Column) -> Column:
-            before = _words(F.concat(F.array_join(F.slice(units, 1, u["i"]), joint), F.lit(" ")))
-            a = F.size(F.filter(before, lambda w: w != ""))
-            hit = u["hits"][0]
-            return F.struct(hit["dice"].alias("dice"), hit["license"].alias("license"), u["unit"].alias("unit"), a.alias("a"),
-                            (a + F.size(_words(u["unit"])) - 1).alias("b"))
-
-        return F.transform(F.filter(F.transform(units, best), lambda u: F.size(u["hits"]) > 0), placed)
-
-    def windows(words: Column, pairs: Column, t: Column) -> Column:
-        """The matching windows of one template: they begin at one of its bigrams and have one of its sizes."""
-        def sized(at: Column) -> Column:
-            starts = F.filter(at, lambda p, k: F.when(k + t["need"] <= F.size(at), F.get(at, k + t["need"] - 1) - p < t["reach"]).otherwise(False))
-            ends = F.flatten(F.transform(starts, lambda p: F.transform(t["sizes"], lambda s: F.struct(p.alias("a"), F.least(p + s, F.size(pairs)).alias("b")))))
-            dices = F.transform(ends, lambda w: F.struct(dice_of(F.array_distinct(F.slice(pairs, w["a"] + 1, w["b"] - w["a"])), t).alias("dice"), w["a"].alias("a"), w["b"].alias("b")))
-            found = F.transform(F.filter(dices, lambda w: w["dice"] >= min_dice), lambda w: F.struct(
-                w["dice"].alias("dice"), t["name"].alias("license"), F.array_join(F.slice(words, w["a"] + 1, w["b"] - w["a"] + 1), " ").alias("unit"), w["a"].alias("a"), w["b"].alias("b")))
-            return beside(F.slice(found, 1, 0), found)
-
-        places = F.transform(pairs, lambda g, i: F.when(F.array_contains(t["grams"], g), i))
-        return _let(F.array_compact(places), sized)
-
-    def beside(taken: Column, found: Column) -> Column:
-        """``taken`` and the windows of ``found``, best and longest first, that do not lie for more than half in a match
-        of no lower coefficient or as a whole in a match of the same license."""
-        order = F.array_sort(F.transform(found, lambda w: F.struct((-w["dice"]).alias("x"), (w["a"] - w["b"]).alias("y"), w["a"].alias("z"), w["license"].alias("n"), w.alias("w"))))
-
-        def add(acc: Column, o: Column) -> Column:
-            w = o["w"]
-            covers = F.exists(acc, lambda v: (2 * (F.least(v["b"], w["b"]) - F.greatest(v["a"], w["a"])) > w["b"] - w["a"]) & (
-                (v["dice"] >= w["dice"]) | ((v["license"] == w["license"]) & (v["a"] <= w["a"]) & (w["b"] <= v["b"]))))
-            return F.when(covers, acc).otherwise(F.concat(acc, F.array(w)))
-
-        return F.reduce(order, taken, add)
 
     def matches(words: Column, pairs: Column, near: Column) -> Column:
-        lines = F.split(whole, r"[\r\n]+")
-        paragraphs = F.split(whole, PARAGRAPH_BREAK)
-        several = lambda p: F.rlike(F.btrim(p, F.lit(" \t\r\n")), F.lit(r"[\r\n]"))
-        units = F.concat(_let(lines, lambda x: matched(x, "\n", near)), _let(paragraphs, lambda x: F.filter(matched(x, "\n", near), lambda u: several(u["unit"]))))
-        found = F.flatten(F.transform(near, lambda t: windows(words, pairs, t)))
-
-        def told(taken: Column, all_: Column) -> Column:
-            added = F.array_sort(F.transform(F.slice(all_, F.size(taken) + 1, F.size(all_)), lambda w: F.struct(w["a"].alias("at"), w.alias("w"))))["w"]
-            parts = lambda u: F.exists(added, lambda w: (w["license"] == u["license"]) & (w["dice"] > u["dice"]) & (w["a"] <= u["a"]) & (u["b"] <= w["b"]))
-            return F.concat(F.filter(taken, lambda u: ~parts(u)), added)
-
-        return _let(units, lambda taken: _let(_let(found, lambda f: beside(taken, f)), lambda all_: told(taken, all_)))
+        found = _let(_earlier(pairs), lambda e: F.flatten(F.transform(near, lambda t: _windows(pairs, e, t, min_dice))))
+        return F.transform(_settled(found, F.array_max(near["reach"])), lambda w: F.struct(
+            w["dice"].alias("dice"), w["license"].alias("license"), F.array_join(F.slice(words, w["a"] + 1, w["b"] - w["a"] + 1), " ").alias("unit")))
 
     def searched(words: Column) -> Column:
         def look(pairs: Column) -> Column:
@@ -243,9 +250,8 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, tuple[str, ..
 
         return _let(_pairs(words), look)
 
-    found = F.coalesce(_let(_words(whole), searched), F.array().cast("array<struct<dice:double,license:string,unit:string,a:int,b:int>>"))
-    made = F.transform(found, lambda m: F.struct(m["dice"].alias("dice"), m["license"].alias("license"), m["unit"].alias("unit")))
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != text], made.alias("l_matches"))
+    found = F.coalesce(_let(_words(F.coalesce(F.col(text), F.lit(""))), searched), F.array().cast("array<struct<dice:double,license:string,unit:string>>"))
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != text], found.alias("l_matches"))
 
 
 def scan_report(docs: DataFrame) -> DataFrame:
