@@ -6,7 +6,7 @@ template, and the end with the best coefficient is kept (the nearest of equal on
 at least t by the sizes of both sides follows that a text must hold n * t / (2 - t) of a template's n bigrams, or it
 is done after one look at its bigrams; that so many must lie near a start; and that a walk ends after
 s * (2 - t) / t words, s being the template's length: a window that repeats itself beyond that is not looked at. No size
-in between is left out, and the work of a text grows with its length. Everything is one narrow projection of array
+in between is left out, and the walks of a text grow with its length alone. Everything is one narrow projection of array
 expressions; the templates are a literal of known size.
 
 Windows that overlap are settled in two sweeps. In the order of the text (start, then the better, the longer and the
@@ -35,8 +35,8 @@ from aerolake.llm.tables import without
 MIN_DICE = 0.8
 #: The literal of templates may hold so many bigrams in all.
 MAX_TEMPLATE_BIGRAMS = 200_000
-#: Matches are gathered in blocks of so many, so that adding one does not copy all before it.
-BLOCK = 256
+#: Least number of windows that are swept together: a fold copies its state, so that what is kept must not grow within it.
+BLOCK = 64
 
 #: Notices that name public licenses, and the wording of the short ones.
 NOTICES = {
@@ -153,7 +153,7 @@ def template_rows(spark: SparkSession, templates: dict[str, tuple[str, ...]], mi
 
 
 _TEMPLATE = "array<struct<name:string,need:int,reach:int,grams:array<bigint>,keys:array<bigint>>>"
-_WINDOW = "struct<a:int,b:int,dice:double,license:string,held:int>"
+_WINDOW = "struct<a:int,b:int,dice:double,template:int,held:int>"
 
 
 def _earlier(pairs: Column) -> Column:
@@ -165,8 +165,8 @@ def _earlier(pairs: Column) -> Column:
     return F.array_sort(_let(placed, linked))["p"]
 
 
-def _windows(pairs: Column, earlier: Column, t: Column, min_dice: float) -> Column:
-    """The best window from every start for one template, if it reaches ``min_dice``; it holds the bigrams a to b - 1."""
+def _windows(pairs: Column, earlier: Column, t: Column, number: Column, min_dice: float) -> Column:
+    """The best window from every start for one template and its number, if it reaches ``min_dice``; it holds the bigrams a to b - 1."""
     def walked(p: Column, spots: Column) -> Column:
         def step(s: Column, x: Column) -> Column:
             new = x["p"] < p
@@ -179,7 +179,7 @@ def _windows(pairs: Column, earlier: Column, t: Column, min_dice: float) -> Colu
 
         first = F.struct(p.alias("i"), F.lit(0).alias("seen"), F.lit(0).alias("shared"), p.alias("b"), F.lit(0.0).alias("dice"))
         return F.reduce(F.slice(spots, p + 1, t["reach"]), first, step, lambda s: F.struct(
-            p.alias("a"), s["b"].alias("b"), s["dice"].alias("dice"), t["name"].alias("license"), F.lit(0).alias("held")))
+            p.alias("a"), s["b"].alias("b"), s["dice"].alias("dice"), number.alias("template"), F.lit(0).alias("held")))
 
     def from_starts(spots: Column) -> Column:
         def near(at: Column) -> Column:
@@ -197,21 +197,22 @@ def _swept(windows: Column, held: Callable[[Column, Column], Column], live: Call
     none = F.array().cast(f"array<{_WINDOW}>")
 
     def add(s: Column, w: Column) -> Column:
-        def decided(active: Column) -> Column:
-            def settled(n: Column) -> Column:
-                kept = F.struct(w["a"].alias("a"), w["b"].alias("b"), w["dice"].alias("dice"), w["license"].alias("license"), n.alias("held"))
-                full = F.size(s["block"]) >= BLOCK
-                return F.when(2 * n > w["b"] - w["a"], F.struct(s["done"].alias("done"), s["block"].alias("block"), active.alias("active"))).otherwise(F.struct(
-                    F.when(full, F.concat(s["done"], F.array(s["block"]))).otherwise(s["done"]).alias("done"),
-                    F.when(full, F.array(kept)).otherwise(F.concat(s["block"], F.array(kept))).alias("block"),
-                    F.concat(active, F.array(kept)).alias("active")))
+        active = F.filter(s["active"], lambda v: live(v, w))
+        n = held(active, w)
+        kept = F.array(F.struct(w["a"].alias("a"), w["b"].alias("b"), w["dice"].alias("dice"), w["template"].alias("template"), n.alias("held")))
+        return F.when(2 * n > w["b"] - w["a"], s).otherwise(F.struct(F.concat(s["kept"], kept).alias("kept"), F.concat(active, kept).alias("active")))
 
-            return _let(held(active, w), settled)
+    def add_block(s: Column, block: Column) -> Column:
+        return F.reduce(block, F.struct(none.alias("kept"), s["active"].alias("active")), add,
+                        lambda x: F.struct(F.concat(s["kept"], x["kept"]).alias("kept"), x["active"].alias("active")))
 
-        return _let(F.filter(s["active"], lambda v: live(v, w)), decided)
+    def in_blocks(all_: Column) -> Column:
+        size = F.greatest(F.lit(BLOCK), F.ceil(F.sqrt(F.size(all_))).cast("int"))
+        places = F.sequence(F.lit(0), F.floor(F.size(all_) / size).cast("int"))
+        blocks = F.transform(places, lambda k: F.slice(all_, k * size + 1, size))
+        return F.reduce(blocks, F.struct(none.alias("kept"), none.alias("active")), add_block, lambda s: s["kept"])
 
-    start = F.struct(F.array().cast(f"array<array<{_WINDOW}>>").alias("done"), none.alias("block"), none.alias("active"))
-    return F.reduce(windows, start, add, lambda s: F.concat(F.flatten(s["done"]), s["block"]))
+    return _let(windows, in_blocks)
 
 
 def _settled(windows: Column, reach: Column) -> Column:
@@ -224,7 +225,7 @@ def _settled(windows: Column, reach: Column) -> Column:
         rest = F.transform(F.filter(active, lambda v: v["dice"] >= w["dice"]), lambda v: F.least(v["b"], w["b"]) - F.greatest(v["a"], w["a"] + w["held"]))
         return w["held"] + F.greatest(F.coalesce(F.array_max(rest), F.lit(0)), F.lit(0))
 
-    order = F.array_sort(F.transform(windows, lambda w: F.struct(w["a"].alias("a"), (-w["dice"]).alias("d"), (-w["b"]).alias("b"), w["license"].alias("n"), w.alias("w"))))["w"]
+    order = F.array_sort(F.transform(windows, lambda w: F.struct(w["a"].alias("a"), (-w["dice"]).alias("d"), (-w["b"]).alias("b"), w["template"].alias("n"), w.alias("w"))))["w"]
     forth = _swept(order, before, lambda v, w: v["b"] > w["a"])
     return F.reverse(_swept(F.reverse(forth), behind, lambda v, w: v["a"] < w["a"] + reach))
 
@@ -238,9 +239,9 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, tuple[str, ..
     keys = sorted({k for r in rows for k in r["keys"]})
 
     def matches(words: Column, pairs: Column, near: Column) -> Column:
-        found = _let(_earlier(pairs), lambda e: F.flatten(F.transform(near, lambda t: _windows(pairs, e, t, min_dice))))
+        found = _let(_earlier(pairs), lambda e: F.flatten(F.transform(near, lambda t, i: _windows(pairs, e, t, i, min_dice))))
         return F.transform(_settled(found, F.array_max(near["reach"])), lambda w: F.struct(
-            w["dice"].alias("dice"), w["license"].alias("license"), F.array_join(F.slice(words, w["a"] + 1, w["b"] - w["a"] + 1), " ").alias("unit")))
+            w["dice"].alias("dice"), F.get(near, w["template"])["name"].alias("license"), F.array_join(F.slice(words, w["a"] + 1, w["b"] - w["a"] + 1), " ").alias("unit")))
 
     def searched(words: Column) -> Column:
         def look(pairs: Column) -> Column:
