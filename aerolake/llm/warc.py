@@ -150,6 +150,26 @@ def _ranges(rows: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, l
         yield held
 
 
+def _parsed(data: bytes, start: int, records: list[tuple[int, int]], with_payload: bool) -> Iterator[list[tuple]]:
+    """The rows of the records of one read, in lists of at most ``READ_BYTES`` of payload or one record. A payload that
+    is not asked for is held no longer than its digest takes, so that what a read unpacks to does not add up."""
+    out, held = [], 0
+    for offset, length in records:
+        fields, size, payload = parse(zlib.decompress(data[offset - start : offset - start + length], 31))
+        digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
+        if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
+            raise ValueError(f"payload of {fields['WARC-Record-ID']} differs from its digest")
+        if with_payload and out and held + len(payload) > READ_BYTES:
+            yield out
+            out, held = [], 0
+        held += len(payload)
+        page, first = fields.get("X-Page-Id"), fields.get("X-Refers-To-Page")
+        out.append((None if page is None else int(page), fields.get("WARC-Target-URI"), kind, digest, size, None if first in (None, "None") else int(first),
+                    *([payload] if with_payload else [])))
+    if out:
+        yield out
+
+
 def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
     """The records of the index rows: page_id, url, record_type, payload_digest, payload_bytes, refers_to, payload.
 
@@ -170,15 +190,8 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> D
                 if archive != opened:
                     opened, source = archive, files.open_input_file(f"{base}/{archive}")
                 data = source.read_at(end - start, start)
-                out = []
-                for offset, length in records:
-                    fields, size, payload = parse(zlib.decompress(data[offset - start : offset - start + length], 31))
-                    digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
-                    if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
-                        raise ValueError(f"payload of {fields['WARC-Record-ID']} differs from its digest")
-                    page, first = fields.get("X-Page-Id"), fields.get("X-Refers-To-Page")
-                    out.append((None if page is None else int(page), fields.get("WARC-Target-URI"), kind, digest, size, None if first in (None, "None") else int(first), payload))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+                for out in _parsed(data, start, records, with_payload):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
     return wanted.mapInArrow(run, schema)
 
