@@ -247,20 +247,8 @@ def verification_basis(state: Column, chunks: Column, chain_valid: Column, close
     state = normal_state(state)
     family = F.trim(F.substring_index(F.coalesce(algorithm, F.lit("")), "+", 1))
     family = F.when(family == "", F.lit("hash-chain")).otherwise(family)
-    verdict = F.when(chain_valid, F.lit("validated")).otherwise(
-        F.lit("present — chain mismatch detected"))
-    chain = (F.when(F.coalesce(chunks, F.lit(0)) > 0, F.concat(
-                thousands(chunks), F.lit(" "), family, F.lit(" hash-chain chunks "), verdict,
-                F.lit(".")))
-             .when(state == "UNSIGNED", F.lit("No signature structures present."))
-             .when(state == "CORRUPTED", F.lit("Verification records could not be parsed.")))
-    closure = (F.when(closed, F.lit("END record present."))
-               .when(~closed, F.lit("END record not present.")))
-    signature = pick(state, {
-        "VERIFIED": "Ed25519 signature valid.",
-        "PARTIAL": "Final Ed25519 signature unavailable (log not closed).",
-        "INVALID": "Signature / hash-chain validation failed.",
-        "WRONG_KEY": "Key fingerprint does not match this log.",
-        "UNKNOWN": "Signature not checked — no public key loaded.",
-    })
+    counted = F.format_string(fixed.BASIS_CHUNKS, thousands(chunks), family, pick(F.coalesce(chain_valid, F.lit(False)), fixed.BASIS_CHAIN))
+    chain = F.when(F.coalesce(chunks, F.lit(0)) > 0, counted).otherwise(pick(state, fixed.BASIS_NO_CHUNKS))
+    closure = pick(closed, fixed.BASIS_END)
+    signature = pick(state, fixed.BASIS_SIGNATURE)
     return F.array_compact(F.array(chain, closure, signature))

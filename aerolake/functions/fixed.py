@@ -218,3 +218,19 @@ LEGACY_STATES = {
     "STRUCTURE_ERROR": "CORRUPTED", "TAMPERED": "INVALID", "KEY_MISMATCH": "WRONG_KEY",
     "TRUNCATED": "PARTIAL", "ERROR": "CORRUPTED", "": "UNKNOWN",
 }
+
+# The sentences that say what was checked of a log.
+BASIS_CHUNKS = "%s %s hash-chain chunks %s."
+BASIS_CHAIN = {True: "validated", False: "present — chain mismatch detected"}
+BASIS_NO_CHUNKS = {
+    "UNSIGNED": "No signature structures present.",
+    "CORRUPTED": "Verification records could not be parsed.",
+}
+BASIS_END = {True: "END record present.", False: "END record not present."}
+BASIS_SIGNATURE = {
+    "VERIFIED": "Ed25519 signature valid.",
+    "PARTIAL": "Final Ed25519 signature unavailable (log not closed).",
+    "INVALID": "Signature / hash-chain validation failed.",
+    "WRONG_KEY": "Key fingerprint does not match this log.",
+    "UNKNOWN": "Signature not checked — no public key loaded.",
+}
