@@ -83,3 +83,37 @@ def test_aviation_tables(spark):
     assert near.ident == "YSSY" and near.distance_m < 5000
     assert aviation.nearest_runway(points, runways, "id").collect()[0].designator == "07/25" and runways.count() == 1
     assert aviation.read_airports(spark, f"{folder}/none.csv").count() == 0
+
+
+def test_nearest_places_by_brute_force(spark):
+    """Places of every density, equal places and far second runway ends, points without a place near, high latitudes."""
+    import math
+    import random
+
+    rnd = random.Random(5)
+    spots = [(rnd.uniform(-60, -59.9), rnd.uniform(10, 10.1)) for _ in range(60)] + [(rnd.uniform(-63, -57), rnd.uniform(6, 14)) for _ in range(40)]
+    spots += [(86 + rnd.random() * 3, rnd.uniform(10, 14)) for _ in range(20)] + [(-60.05, 10.05)] * 5 + [(-59.0, 10.0)]
+    strips = [(f"S{i}", "10/28", la, lo, la + rnd.uniform(-0.9, 0.9), lo + rnd.uniform(-0.9, 0.9), i) for i, (la, lo) in enumerate(spots)]
+    points = [(i, rnd.uniform(-63, -57), rnd.uniform(6, 14)) for i in range(120)] + [(200 + i, rnd.uniform(-60, -59.9), rnd.uniform(10, 10.1)) for i in range(60)]
+    points += [(300 + i, 86 + rnd.random() * 3, rnd.uniform(9, 15)) for i in range(40)] + [(400, -60.05, 10.05), (401, -60.0, 10.0), (402, 0.0, 0.0), (None, -60.05, 10.05), (403, None, 1.0)]
+
+    def gap(p, la, lo):
+        return math.hypot(6378137.0 * math.cos(math.radians(p[1])) * math.radians(lo - p[2]), 6378137.0 * math.radians(la - p[1]))
+
+    def nearest(both):
+        found = {}
+        for p in points:
+            if p[1] is not None:
+                inside = [s for s in strips if p[1] - 1 <= s[2] <= p[1] + 1 and p[2] - 1 <= s[3] <= p[2] + 1]
+                if inside:
+                    found[p[0]] = min((min(gap(p, s[2], s[3]), gap(p, s[4], s[5])) if both else gap(p, s[2], s[3]), s[6]) for s in inside)
+        return found
+
+    marks = spark.createDataFrame(points, "id int, lat double, lon double")
+    runways = spark.createDataFrame(strips, "airport_ident string, designator string, le_lat double, le_lon double, he_lat double, he_lon double, row long")
+    airports = runways.selectExpr("airport_ident AS ident", "airport_ident AS name", "le_lat AS lat", "le_lon AS lon", "row")
+    for told, both in ((aviation.nearest_airport(marks, airports, "id"), False), (aviation.nearest_runway(marks, runways, "id"), True)):
+        assert "BroadcastHashJoin" not in told._jdf.queryExecution().toString()
+        rows = {r.id: (r.distance_m, int((r.airport_ident if both else r.ident)[1:])) for r in told.collect()}
+        truth = nearest(both)
+        assert rows.keys() == truth.keys() and all(rows[i][1] == truth[i][1] and abs(rows[i][0] - truth[i][0]) < 1e-6 for i in truth)
