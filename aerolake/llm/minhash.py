@@ -12,9 +12,10 @@ rank.
 
 Signatures are cut into bands. Equal texts are one class from the start. Every class that shares a band
 is compared exactly with one center of that bucket, which is one pair per member, and components of the
-accepted links are found. Members of one center that are still in different components are dealt to buckets
-by the signature of their difference from the center and meet a few of each bucket; exact bounds decide most of
-these pairs, the others are compared. No pair within a component is ever made.
+accepted links are found. What is left are pairs that share a bucket but lie in different components: members of
+one center are joined on the keys of exact prefixes (see ``prefixes``), which no pair of the threshold escapes, first
+with one member of each key, then all with all across components; exact bounds decide most of these pairs, the others
+are compared. So the components are those of all similar pairs that share a band. No pair within a component is ever made.
 
 Defined results: a null text is an empty one; texts of fewer than five but at least one word are one
 shingle of all their words; texts without words are only alike if they are equal; null doc_ids come first;
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolake.llm.components import components
@@ -179,46 +180,32 @@ def similarity(a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray) ->
     return float(low / union) if union else 0.0
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, weighting: str, threshold: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) with their exact similarity ``s``; of b its weight, its weight ``inside`` a's shingles, bit cells
-    of what it lacks and adds, and the bands and some keys of its difference from a (see ``further_pairs``)."""
+def _compared(pairs: DataFrame, sets: DataFrame, weighting: str) -> DataFrame:
+    """The pairs (a, b) with their exact similarity ``s``; the size of a's set; of b its weight, its weight ``inside`` a's
+    shingles, and bit cells of what it lacks and adds (see ``_possible``)."""
     left = sets.select(F.col("c").alias("a"), F.col("keys").alias("ka"), F.col("counts").alias("wa"))
     right = sets.select(F.col("c").alias("b"), F.col("keys").alias("kb"), F.col("counts").alias("wb"))
     rows = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ka", "kb", "wa", "wb")
-    names = ["a", "b", "s", "center_size", "weight", "inside", *MARKS, "bands", "few"]
+    names = ["a", "b", "s", "center_size", "weight", "inside", *MARKS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(at, COMPARED_ROWS) for whole in batches for at in range(0, whole.num_rows, COMPARED_ROWS)):
-            told, differences = [], []
+            told = []
             for ka, kb, wa, wb in zip(*(batch.column(i) for i in range(2, 6))):
                 x, y = np.asarray(ka.values), np.asarray(kb.values)
                 u, v = (np.asarray(w.values).astype(np.int64) if weighting == "count" else np.ones(len(k), np.int64) for w, k in ((wa, x), (wb, y)))
                 gone, new = x[~np.isin(x, y, assume_unique=True)], ~np.isin(y, x, assume_unique=True)
                 told.append((similarity(x, y, u, v), len(x), int(v.sum()), int(v[~new].sum()), *_cells(gone), *_cells(y[new])))
-                differences.append(np.concatenate([mix(gone.view(np.uint64)), y[new].view(np.uint64)]))
-            owner = np.repeat(np.arange(len(told)), [len(d) for d in differences])
-            key = np.concatenate([np.zeros(0, np.uint64), *differences])
-            darts = dart_signatures(owner, key, np.ones(len(key)), len(told), DIFFERENCE_BANDS * DIFFERENCE_ROWS, seed=1)
-            keys = band_keys(darts, DIFFERENCE_BANDS).view(np.int64)
-            full = np.array([len(d) > 0 for d in differences], bool)
-            bands = pa.ListArray.from_arrays(pa.array(np.cumsum(np.append(0, full * DIFFERENCE_BANDS)), pa.int32()), pa.array(keys[full].ravel()))
-            few = [np.sort(mix(d ^ np.uint64(1)))[: FEW_KEYS if t[0] >= threshold else len(d) if t[0] >= threshold**2 else 0] for t, d in zip(told, differences)]
-            few = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, few)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *few]).view(np.int64)))
             column = lambda i: pa.array([t[i] for t in told], pa.int64() if i else pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(column, range(8)), bands, few], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(column, range(8))], names=names)
 
-    return rows.mapInArrow(run, "a bigint, b bigint, s double, center_size bigint, weight bigint, inside bigint, "
-                           + ", ".join(f"{m} bigint" for m in MARKS) + ", bands array<bigint>, few array<bigint>")
+    return rows.mapInArrow(run, "a bigint, b bigint, s double, center_size bigint, weight bigint, inside bigint, " + ", ".join(f"{m} bigint" for m in MARKS))
 
 
 #: Pairs that are compared before their results are handed on.
 COMPARED_ROWS = 500
-#: Bands of the signature of a difference: two differences of similarity 1/3 share none with probability (1 - 1/27)^64 < 0.09.
-DIFFERENCE_BANDS, DIFFERENCE_ROWS = 64, 3
-#: Keys by which a member near its center is looked up: if a member beyond is near it, half of its keys at least are keys of that one.
-FEW_KEYS = 8
-#: Members of a bucket of differences that all others of it meet.
-REPRESENTATIVES = 4
+#: Members of one key that are met by others in one cell; keys of more members are spread over several cells, to the same pairs.
+CELL_ROWS = 2_000
 MARKS = [f"{kind}{i}" for kind in ("gone", "new") for i in range(2)]
 
 
@@ -243,38 +230,37 @@ def star_pairs(classes: DataFrame) -> DataFrame:
     return shared.join(centers, "band").filter("c <> a").select("a", F.col("c").alias("b")).distinct()
 
 
-def further_pairs(compared: DataFrame, roots: DataFrame, threshold: float, weighting: str) -> DataFrame:
-    """(a, b): pairs among the members of one center that lie in different components and may be near duplicates.
+def prefixes(compared: DataFrame, sets: DataFrame, roots: DataFrame, threshold: float, weighting: str) -> DataFrame:
+    """(a, key, b, rest, ..facts): of members b of centers a with members in several components the keys of their prefixes.
 
-    A member's difference from its center is the set of shingles it lacks or adds. If neither of two members is near
-    the center, they can only be near each other if they share much of their differences: with n shingles each and
-    differences of more than 2/9 n, their similarity is 0.8 only if that of the differences is 1/3 at least. So the
-    members of a center are dealt to buckets by bands of the signature of their difference, and every member of a bucket
-    meets ``REPRESENTATIVES`` of it, drawn by hash for each bucket anew: a fixed number of meetings per member, whatever
-    the bucket's size. If one of two members is near the center, its own difference is small, and half of it at least must
-    be part of the other's: the members beyond meet, on each key of their difference, as many of those that have the key
-    among their ``FEW_KEYS`` least. Exact bounds leave few of them to compare: two members share what both have of the center's
-    shingles at most, and what both add; unions have at least as many shingles as their bit cells have bits.
+    Members of different components only share keys that a center's members of several components have. Let all members
+    have these in one order, the rarest of the center's members first: if two members have at least the threshold, the keys
+    from their first common one on weigh at least the threshold's part of either set. So it is among the keys of which
+    each and those after it (``rest``) weigh as much: the prefix. No such pair is missed, however many members a center has.
     """
-    share = threshold / (1.0 + threshold)
-    of = roots.withColumnRenamed("node", "b")
-    placed = cut(compared.join(of, "b", "left").withColumn("root", F.coalesce("root", "b")))
+    placed = _placed(compared, roots)
     mixed = placed.groupBy("a").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("a")
     placed = cut(placed.join(mixed, "a", "left_semi"))
+    held = sets.select(F.col("c").alias("b"), F.arrays_zip("keys", "counts").alias("items"))
+    held = placed.select("a", "b", "root", "weight").join(held, "b").select("a", "b", "root", "weight", F.explode("items").alias("item"))
+    held = held.select("a", "b", "root", "weight", F.col("item.keys").alias("key"), (F.col("item.counts") if weighting == "count" else F.lit(1)).cast("long").alias("w"))
+    live = held.groupBy("a", "key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("a", "key", "n")
+    after = Window.partitionBy("a", "b").orderBy(F.desc("n"), F.desc("key")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = held.join(live, ["a", "key"]).withColumn("rest", F.sum("w").over(after)).filter(F.col("rest") >= threshold * F.col("weight") - 1e-6)
+    return kept.select("a", "key", "b", "rest").join(placed.drop("s", "root"), ["a", "b"])
+
 
-    facts = ["b", "root", "weight", "inside", *(MARKS if weighting == "presence" else [])]
+def _placed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of members b with their components."""
+    return rows.join(roots.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
 
-    def shown(frame: DataFrame) -> DataFrame:
-        """Of every bucket of the frame the drawn members."""
-        drawn = [F.max(F.struct(F.xxhash64("cell", "b", F.lit(i)).alias("h"), "b")).alias(f"t{i}") for i in range(REPRESENTATIVES)]
-        tops = frame.groupBy("a", "cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), *drawn)
-        tops = cut(tops.select("a", "cell", "r0", "r1", F.explode(F.array_distinct(F.array(*[f"t{i}.b" for i in range(REPRESENTATIVES)]))).alias("b")))
-        return tops.join(placed.select("a", *facts), ["a", "b"]).select("a", "cell", "r0", "r1", *[F.col(c).alias(f"{c}_x") for c in facts])
 
-    def spread(cells: str, chosen: F.Column = F.lit(True)) -> DataFrame:
-        return placed.filter(chosen).select("a", "center_size", *facts, F.explode(cells).alias("cell"))
+def _possible(threshold: float, weighting: str) -> F.Column:
+    """Whether members b and b_x of a center, in different components, may have the threshold by exact bounds.
 
-    near = F.least("weight", "weight_x") >= threshold * F.greatest("weight", "weight_x") - 1e-9
+    They share what both have of the center's shingles at most, and what both add; unions have at least as many
+    shingles as their bit cells have bits; and from their first common key on they share ``rest`` at most.
+    """
     common = F.least("inside", "inside_x") + F.least(F.col("weight") - F.col("inside"), F.col("weight_x") - F.col("inside_x"))
     if weighting == "presence":
         def bits(kind: str) -> F.Column:
@@ -282,12 +268,37 @@ def further_pairs(compared: DataFrame, roots: DataFrame, threshold: float, weigh
 
         both_added = F.col("weight") - F.col("inside") + F.col("weight_x") - F.col("inside_x") - bits("new")
         common = F.least(common, F.least("inside", "inside_x", F.col("center_size") - bits("gone")) + both_added)
-    possible = near & (common >= share * (F.col("weight") + F.col("weight_x")) - 1e-9)
-    wanted = (F.col("root") != F.col("root_x")) & possible
-    beyond = spread("bands").join(shown(spread("bands")).filter("r0 <> r1"), ["a", "cell"]).filter(wanted)
-    inner = F.col("s") >= threshold
-    across = spread("few", ~inner).join(shown(spread("few", inner)), ["a", "cell"]).filter(wanted)
-    return beyond.select("b", "b_x").unionByName(across.select("b", "b_x")).select(F.least("b", "b_x").alias("a"), F.greatest("b", "b_x").alias("b")).distinct()
+    share = threshold / (1.0 + threshold)
+    return (F.col("root") != F.col("root_x")) & (F.least(common, "rest", "rest_x") >= share * (F.col("weight") + F.col("weight_x")) - 1e-6)
+
+
+def across(keyed: DataFrame, roots: DataFrame, threshold: float, weighting: str, drawn: bool) -> DataFrame:
+    """(a, b): the possible pairs that share a key of their prefixes and lie in different components.
+
+    Of the members of a key those outside its largest component meet all of it, in cells of ``CELL_ROWS`` times
+    ``CELL_ROWS`` members; with ``drawn``, one of them alone does: a linear round that joins most of what is to be joined.
+    """
+    keyed = _placed(keyed, roots)
+    parts = keyed.groupBy("a", "key", "root").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.xxhash64("key", "b").alias("h"), "b")).alias("one"))
+    sizes = parts.groupBy("a", "key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most")).filter("parts > 1")
+    sizes = sizes.select("a", "key", F.col("n"), F.col("most.root").alias("most"), (F.col("n") - F.col("most.n")).alias("outside"))
+    if drawn:
+        one = parts.join(sizes.select("a", "key", "most"), ["a", "key"]).filter("root <> most").groupBy("a", "key").agg(F.max("one").alias("one"))
+        sizes = sizes.join(one.select("a", "key", F.col("one.b").alias("one")), ["a", "key"])
+        outer, outside = F.col("b") == F.col("one"), F.lit(1)
+    else:
+        outer, outside = F.col("root") != F.col("most"), F.col("outside")
+    rows = cut(keyed.join(sizes.select("a", "key", "most", F.ceil(F.col("n") / CELL_ROWS).alias("cells"), F.ceil(outside / CELL_ROWS).alias("cells_x"),
+                                       *(["one"] if drawn else [])), ["a", "key"]).withColumn("outer", outer).drop("one"))
+    facts = ["b", "root", "weight", "inside", "rest", "outer", *(MARKS if weighting == "presence" else [])]
+
+    def dealt(to: str, own: F.Column, other: str) -> list[F.Column]:
+        return [F.pmod(F.xxhash64("b", "key"), own).alias(to), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias("j" if to == "i" else "i")]
+
+    met = rows.filter("outer").select("a", "key", *[F.col(c).alias(f"{c}_x") for c in facts], *dealt("i", F.col("cells_x"), "cells"))
+    rows = rows.select("a", "key", "center_size", *facts, *dealt("j", F.col("cells"), "cells_x"))
+    pairs = rows.join(met, ["a", "key", "i", "j"]).filter(_possible(threshold, weighting) & (~F.col("outer") | (F.col("b") < F.col("b_x"))))
+    return pairs.select(F.least("b", "b_x").alias("a"), F.greatest("b", "b_x").alias("b")).distinct()
 
 
 def classify(docs: DataFrame, threshold: float = SIMILARITY, weighting: str = "presence", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -306,13 +317,16 @@ def classify(docs: DataFrame, threshold: float = SIMILARITY, weighting: str = "p
     chosen = cut(classes.select("c", "m_print", _known(F.col("first_doc")).alias("m_doc")).join(wanted, "c", "left_semi"))
     held = texts.join(chosen, ["m_print", "m_doc"]).dropDuplicates(["m_print", "m_doc"]).select("c", "m_text")
     sets = cut(shingle_sets(held, "m_text"))
-    compared = cut(_compared(stars, sets, weighting, threshold))
+    compared = cut(_compared(stars, sets, weighting))
     links = compared.filter(F.col("s") >= threshold).select("a", "b")
     roots = cut(components(links))
-    more = cut(_compared(further_pairs(compared, roots, threshold, weighting), sets, weighting, threshold).filter(F.col("s") >= threshold).select("a", "b"))
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        roots = cut(components(links))
+    keyed = cut(prefixes(compared, sets, roots, threshold, weighting))
+    for drawn in (True, False):
+        pairs = cut(across(keyed, roots, threshold, weighting, drawn))
+        more = cut(_compared(pairs, sets, weighting).filter(F.col("s") >= threshold).select("a", "b"))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = cut(components(links))
 
     ends = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n_links"))
     placed = classes.select("c", "m_print", "first_doc").join(roots.withColumnRenamed("node", "c"), "c", "left").join(ends, "c", "left").withColumn("root", F.coalesce("root", "c"))

@@ -123,6 +123,33 @@ def test_near_classes(spark, weighting):
     assert got == brute.near_classes(rows, weighted=weighting == "count")
 
 
+def test_links_between_members_of_one_center(spark):
+    """Two members near each other, not the center: they only share buckets that it is in, and no band of their differences from it."""
+    core = [f"c{i}" for i in range(204)]
+    shared = lambda i: core + [f"s{i}.{k}" for k in range(27)]
+    texts = [" ".join(core)] + [" ".join(shared(i) + [f"{n}{i}.{k}" for k in range(25)]) for i in (1762,) for n in "xy"]
+    texts += [" ".join(shared(i) + [f"x{i}.{k}" for k in range(25)]) for i in range(20)]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.near_classes(rows)
+    assert got[1] == got[2] != got[0]
+
+
+@pytest.mark.parametrize("weighting", ["presence", "count"])
+@pytest.mark.parametrize("cell", [3, 2000])
+def test_keys_of_many_members(spark, monkeypatch, weighting, cell):
+    """Members that hold the same keys are met in several cells, to the same classes."""
+    monkeypatch.setattr(minhash, "CELL_ROWS", cell)
+    rng = random.Random(8)
+    base = [[f"w{i}.{j}" for j in range(9)] for i in range(14)]
+    texts = [" ".join(w for i, block in enumerate(base) for w in (block if i in kept else [f"v{i}.{j}" for j in range(9)]) * rng.choice((1, 1, 2)))
+             for kept in (rng.sample(range(14), rng.randrange(8, 15)) for _ in range(160))]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), weighting=weighting).collect()}
+    want = brute.near_classes(rows, weighted=weighting == "count")
+    assert got == want and 20 < len(set(want.values())) < 150
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 180)] + [(1000, 1000 + i) for i in range(1, 300)] + [(rng.randrange(5000, 6000), rng.randrange(5000, 6000)) for _ in range(600)]
