@@ -123,18 +123,27 @@ def test_near_classes(spark, weighting):
     assert got == brute.near_classes(rows, weighted=weighting == "count")
 
 
-def test_links_between_members_of_one_center(spark):
-    """Two members near each other, not the center: they only share buckets that it is in, and no band of their differences from it."""
+def texts_of_one_center():
+    """Texts 1 and 2 are near each other, not the center 0: they only share buckets that it is in, and no band of their differences from it."""
     core = [f"c{i}" for i in range(204)]
     shared = lambda i: core + [f"s{i}.{k}" for k in range(27)]
-    texts = [" ".join(core)] + [" ".join(shared(i) + [f"{n}{i}.{k}" for k in range(25)]) for i in (1762,) for n in "xy"]
-    texts += [" ".join(shared(i) + [f"x{i}.{k}" for k in range(25)]) for i in range(20)]
-    rows = list(enumerate(texts))
+    texts = [" ".join(core)] + [" ".join(shared(1762) + [f"{n}1762.{k}" for k in range(25)]) for n in "xy"]
+    return list(enumerate(texts + [" ".join(shared(i) + [f"x{i}.{k}" for k in range(25)]) for i in range(20)]))
+
+
+def test_links_between_members_of_one_center(spark):
+    rows = texts_of_one_center()
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute.near_classes(rows)
     assert got[1] == got[2] != got[0]
 
 
+def test_pipeline_drops_members_near_each_other(spark):
+    rows = texts_of_one_center()
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), FOLDER).collect()}
+    assert kept == set(brute.near_classes(rows).values()) and 1 in kept and 2 not in kept
+
+
 @pytest.mark.parametrize("weighting", ["presence", "count"])
 @pytest.mark.parametrize("cell", [3, 2000])
 def test_keys_of_many_members(spark, monkeypatch, weighting, cell):
