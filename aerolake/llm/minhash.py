@@ -13,7 +13,7 @@ rank.
 Signatures are cut into bands. Equal texts are one class from the start. Every class that shares a band
 is compared exactly with one center of that bucket, which is one pair per member, and components of the
 accepted links are found. What is left are pairs that share a bucket but lie in different components: members of
-one center are joined on the keys of exact prefixes (see ``prefixes``), which no pair of the threshold escapes, first
+one center that may be similar by their distances from it (see ``undecided``) are joined on the keys of exact prefixes (see ``prefixes``), which no pair of the threshold escapes, first
 with one member of each key, then all with all across components; exact bounds decide most of these pairs, the others
 are compared. So the components are those of all similar pairs that share a band. No pair within a component is ever made.
 
@@ -25,6 +25,7 @@ doc_id and the text are read, and columns that are kept keep their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -159,17 +160,17 @@ def signed_documents(docs: DataFrame, weighting: str = "presence", text: str = "
 
 
 def shingle_sets(docs: DataFrame, text: str) -> DataFrame:
-    """(c, keys, counts) of documents (c, text): shingles sorted by hash."""
+    """(c, center, member, keys, counts) of documents (c, center, member, text): shingles sorted by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
-                owner, key, count = shingles(Texts(part.column(1), lower=True))
+                owner, key, count = shingles(Texts(part.column(3), lower=True))
                 offsets = pa.array(np.searchsorted(owner, np.arange(part.num_rows + 1)), pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (key.view(np.int64), count.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["c", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), *lists], names=["c", "center", "member", "keys", "counts"])
 
-    return docs.select("c", text).mapInArrow(run, "c bigint, keys array<bigint>, counts array<int>")
+    return docs.select("c", "center", "member", text).mapInArrow(run, "c bigint, center boolean, member boolean, keys array<bigint>, counts array<int>")
 
 
 def similarity(a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray) -> float:
@@ -180,11 +181,11 @@ def similarity(a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray) ->
     return float(low / union) if union else 0.0
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, weighting: str) -> DataFrame:
+def _compared(pairs: DataFrame, lefts: DataFrame, rights: DataFrame, weighting: str) -> DataFrame:
     """The pairs (a, b) with their exact similarity ``s``; the size of a's set; of b its weight, its weight ``inside`` a's
-    shingles, and bit cells of what it lacks and adds (see ``_possible``)."""
-    left = sets.select(F.col("c").alias("a"), F.col("keys").alias("ka"), F.col("counts").alias("wa"))
-    right = sets.select(F.col("c").alias("b"), F.col("keys").alias("kb"), F.col("counts").alias("wb"))
+    shingles, and bit cells of what it lacks and adds (see ``_possible``). ``lefts`` hold all sets of a, ``rights`` those of b."""
+    left = lefts.select(F.col("c").alias("a"), F.col("keys").alias("ka"), F.col("counts").alias("wa"))
+    right = rights.select(F.col("c").alias("b"), F.col("keys").alias("kb"), F.col("counts").alias("wb"))
     rows = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ka", "kb", "wa", "wb")
     names = ["a", "b", "s", "center_size", "weight", "inside", *MARKS]
 
@@ -230,17 +231,31 @@ def star_pairs(classes: DataFrame) -> DataFrame:
     return shared.join(centers, "band").filter("c <> a").select("a", F.col("c").alias("b")).distinct()
 
 
-def prefixes(compared: DataFrame, sets: DataFrame, roots: DataFrame, threshold: float, weighting: str) -> DataFrame:
-    """(a, key, b, rest, ..facts): of members b of centers a with members in several components the keys of their prefixes.
+def undecided(compared: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """The members b of centers a, with their components, that may have the threshold with a's member of another component.
+
+    One less the similarity is a metric, so the distances of two similar members from the center differ by no more than one
+    less the threshold; and the lighter one has at least the threshold's part of the other's weight. So their cells of
+    distance and of the weight's logarithm are at most two and one apart. Cells are aggregated; no pair of members is made.
+    """
+    ring, size = (1.0 - threshold) / 2 + 1e-6, 1e-6 - math.log(threshold)
+    cells = {"ring": F.floor((1.0 - F.col("s")) / ring), "size": F.floor(F.log("weight") / size)}
+    placed = cut(_placed(compared, roots).withColumns(cells))
+    held = placed.groupBy("a", *cells).agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
+    for cell, reach in (("ring", 2), ("size", 1)):
+        held = held.withColumn(cell, F.explode(F.sequence(F.col(cell) - reach, F.col(cell) + reach)))
+    mixed = held.groupBy("a", *cells).agg(F.min("r0").alias("r0"), F.max("r1").alias("r1")).filter("r0 <> r1").select("a", *cells)
+    return placed.join(mixed, ["a", *cells], "left_semi").drop(*cells)
+
+
+def prefixes(placed: DataFrame, sets: DataFrame, threshold: float, weighting: str) -> DataFrame:
+    """(a, key, b, rest, ..facts): of the undecided members b of centers a the keys of their prefixes.
 
     Members of different components only share keys that a center's members of several components have. Let all members
     have these in one order, the rarest of the center's members first: if two members have at least the threshold, the keys
     from their first common one on weigh at least the threshold's part of either set. So it is among the keys of which
     each and those after it (``rest``) weigh as much: the prefix. No such pair is missed, however many members a center has.
     """
-    placed = _placed(compared, roots)
-    mixed = placed.groupBy("a").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("a")
-    placed = cut(placed.join(mixed, "a", "left_semi"))
     held = sets.select(F.col("c").alias("b"), F.arrays_zip("keys", "counts").alias("items"))
     held = placed.select("a", "b", "root", "weight").join(held, "b").select("a", "b", "root", "weight", F.explode("items").alias("item"))
     held = held.select("a", "b", "root", "weight", F.col("item.keys").alias("key"), (F.col("item.counts") if weighting == "count" else F.lit(1)).cast("long").alias("w"))
@@ -312,18 +327,23 @@ def classify(docs: DataFrame, threshold: float = SIMILARITY, weighting: str = "p
     classes = cut(signed.groupBy("m_print").agg(F.min("m_doc").alias("first_doc"), F.first("m_bands").alias("bands"))
                   .withColumn("c", F.xxhash64("m_print")))
     stars = cut(star_pairs(classes))
-    wanted = stars.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    roles = F.array(F.struct(F.col("a").alias("c"), F.lit(True).alias("center")), F.struct(F.col("b").alias("c"), F.lit(False).alias("center")))
+    wanted = stars.select(F.explode(roles).alias("r")).groupBy("r.c").agg(F.max("r.center").alias("center"), F.max(~F.col("r.center")).alias("member"))
     texts = docs.select(_print(text).alias("m_print"), _known(F.col("doc_id").cast("long")).alias("m_doc"), F.coalesce(F.col(text), F.lit("")).alias("m_text"))
-    chosen = cut(classes.select("c", "m_print", _known(F.col("first_doc")).alias("m_doc")).join(wanted, "c", "left_semi"))
-    held = texts.join(chosen, ["m_print", "m_doc"]).dropDuplicates(["m_print", "m_doc"]).select("c", "m_text")
+    chosen = cut(classes.select("c", "m_print", _known(F.col("first_doc")).alias("m_doc")).join(wanted, "c"))
+    held = texts.join(chosen, ["m_print", "m_doc"]).dropDuplicates(["m_print", "m_doc"]).select("c", "center", "member", "m_text")
     sets = cut(shingle_sets(held, "m_text"))
-    compared = cut(_compared(stars, sets, weighting))
+    members = sets.filter("member")
+    compared = cut(_compared(stars, sets.filter("center"), members, weighting))
     links = compared.filter(F.col("s") >= threshold).select("a", "b")
     roots = cut(components(links))
-    keyed = cut(prefixes(compared, sets, roots, threshold, weighting))
+    placed = cut(undecided(compared, roots, threshold))
+    # From here on only their sets are shuffled.
+    members = cut(members.join(placed.select(F.col("b").alias("c")).distinct(), "c", "left_semi"))
+    keyed = cut(prefixes(placed, members, threshold, weighting))
     for drawn in (True, False):
         pairs = cut(across(keyed, roots, threshold, weighting, drawn))
-        more = cut(_compared(pairs, sets, weighting).filter(F.col("s") >= threshold).select("a", "b"))
+        more = cut(_compared(pairs, members, members, weighting).filter(F.col("s") >= threshold).select("a", "b"))
         if not more.isEmpty():
             links = links.unionByName(more)
             roots = cut(components(links))

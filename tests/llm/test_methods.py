@@ -144,6 +144,19 @@ def test_pipeline_drops_members_near_each_other(spark):
     assert kept == set(brute.near_classes(rows).values()) and 1 in kept and 2 not in kept
 
 
+@pytest.mark.parametrize("weighting", ["presence", "count"])
+def test_members_far_apart_make_no_keys(spark, monkeypatch, weighting):
+    """Copies of a center and a text that holds it in many more words: their distances from it tell that they are not similar, so no key is told."""
+    made, whole = [], minhash.prefixes
+    monkeypatch.setattr(minhash, "prefixes", lambda *args: made.append(whole(*args)) or made[-1])
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join([*base[:98], f"a{i}", f"b{i}"]) for i in range(20)] + [" ".join(base + [f"far{i}" for i in range(60)])]
+    rows = list(enumerate([" ".join(base), *texts]))
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), weighting=weighting).collect()}
+    assert got == brute.near_classes(rows, weighted=weighting == "count") and len(set(got.values())) == 2
+    assert len(made) == 1 and made[0].count() == 0
+
+
 @pytest.mark.parametrize("weighting", ["presence", "count"])
 @pytest.mark.parametrize("cell", [3, 2000])
 def test_keys_of_many_members(spark, monkeypatch, weighting, cell):
