@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aerolake.functions import fixed
+from aerolake.operators.intervals import few_windows
 from aerolake.plans import analytics as A
 from aerolake.plans import health as H
 from aerolake.plans import snapshot as S
@@ -310,9 +311,11 @@ def _judged(spark, folder):
     rows, windows = lake(spark, folder, *REPORT_MESSAGES), _windows(spark, folder)
     totals, spans, split = cut(A.armed_totals(windows)), cut(span(spark, folder)), timeline.fleet_split(rows)
     logs = spans.select("log_id")
-    errors, sticks = A.attitude_errors(rows, windows, split), A.stick_series(rows, windows, split)
-    track, smooth, landed = cut(A.tracking(errors)), cut(A.smoothness(sticks, totals, split)), cut(A.landing(rows, windows, totals, split))
-    yaw, saturated = cut(A.yaw_discipline(errors, sticks, logs)), cut(A.saturation(rows, windows, logs, split))
+    few = few_windows(windows, KEY)
+    # Each is read by two parts or more, whose plans would repeat the search for the windows.
+    errors, sticks = cut(A.attitude_errors(rows, windows, split, few=few)), cut(A.stick_series(rows, windows, split, few=few))
+    track, smooth, landed = cut(A.tracking(errors)), cut(A.smoothness(sticks, totals, split)), cut(A.landing(rows, windows, totals, split, few=few))
+    yaw, saturated = cut(A.yaw_discipline(errors, sticks, logs)), cut(A.saturation(rows, windows, logs, split, few=few))
     axes = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(i).alias("i")) for i, a in enumerate(("roll", "pitch", "yaw"))]))
     number = F.col("log_id").cast("bigint")
     osc = logs.select("log_id", axes.alias("a")).select("log_id", "a.axis", ((number + F.col("a.i")) % 4 == 0).alias("detected"), F.lit(2.5).alias("freq_hz"), F.lit(3.5).alias("amplitude_deg"),
