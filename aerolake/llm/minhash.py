@@ -208,6 +208,8 @@ COMPARED_ROWS = 500
 #: Members of one key that are met by others in one cell; keys of more members are spread over several cells, to the same pairs.
 CELL_ROWS = 2_000
 MARKS = [f"{kind}{i}" for kind in ("gone", "new") for i in range(2)]
+#: Cells of the screen for every wanted text, and the words of 64 cells that are broadcast at most. Beyond so many texts it lets more others pass.
+SCREEN_CELLS, SCREEN_WORDS = 16, 2**19
 
 
 def _cells(keys: np.ndarray) -> list[int]:
@@ -217,6 +219,19 @@ def _cells(keys: np.ndarray) -> list[int]:
     return np.packbits(bits).view(np.int64).tolist()
 
 
+def screened(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose (m_print, m_doc) may be among the ``wanted``, a written table: all that are, and few others.
+
+    Most texts share no band with another. A bitmap of the wanted ones is broadcast, so that their texts are not shuffled
+    to find that out; who needs the wanted ones alone joins them after.
+    """
+    words = min(2 ** (wanted.count() * SCREEN_CELLS // 64).bit_length(), SCREEN_WORDS)
+    cell = F.xxhash64("m_print", "m_doc")
+    at = {"word_": cell.bitwiseAND(F.lit(words - 1)), "bit_": F.shiftrightunsigned(cell, 58).cast("int")}
+    screen = wanted.withColumns(at).groupBy("word_").agg(F.bit_or(F.expr("shiftleft(1L, bit_)")).alias("bits_"))
+    return texts.withColumns(at).join(F.broadcast(screen), "word_").filter(F.getbit("bits_", "bit_") == 1).select(*texts.columns)
+
+
 def star_pairs(classes: DataFrame) -> DataFrame:
     """(a, b): every class b that shares a band with others, with the center a of each of its buckets.
 
@@ -331,7 +346,7 @@ def classify(docs: DataFrame, threshold: float = SIMILARITY, weighting: str = "p
     wanted = stars.select(F.explode(roles).alias("r")).groupBy("r.c").agg(F.max("r.center").alias("center"), F.max(~F.col("r.center")).alias("member"))
     texts = docs.select(_print(text).alias("m_print"), _known(F.col("doc_id").cast("long")).alias("m_doc"), F.coalesce(F.col(text), F.lit("")).alias("m_text"))
     chosen = cut(classes.select("c", "m_print", _known(F.col("first_doc")).alias("m_doc")).join(wanted, "c"))
-    held = texts.join(chosen, ["m_print", "m_doc"]).dropDuplicates(["m_print", "m_doc"]).select("c", "center", "member", "m_text")
+    held = screened(texts, chosen).join(chosen, ["m_print", "m_doc"]).dropDuplicates(["m_print", "m_doc"]).select("c", "center", "member", "m_text")
     sets = cut(shingle_sets(held, "m_text"))
     members = sets.filter("member")
     compared = cut(_compared(stars, sets.filter("center"), members, weighting))

@@ -172,6 +172,18 @@ def test_keys_of_many_members(spark, monkeypatch, weighting, cell):
     assert got == want and 20 < len(set(want.values())) < 150
 
 
+@pytest.mark.parametrize("most", [2**19, 4])
+def test_only_texts_that_may_be_wanted_are_shuffled(spark, monkeypatch, most):
+    """All wanted texts pass, unless the screen is full few others do; and it needs no shuffle of the texts."""
+    monkeypatch.setattr(minhash, "SCREEN_WORDS", most)
+    texts = spark.range(4000).select(F.sha2(F.col("id").cast("string"), 256).alias("m_print"), F.col("id").alias("m_doc"), F.lit("text").alias("m_text"))
+    wanted = minhash.cut(texts.filter("m_doc % 40 = 0").drop("m_text"))
+    got = minhash.screened(texts, wanted)
+    assert got.columns == texts.columns and got.join(wanted, ["m_print", "m_doc"]).count() == 100
+    assert got.count() == got.distinct().count() < (600 if most > 4 else 4000)
+    assert "m_text" not in " ".join(line for line in got._jdf.queryExecution().toString().split("== Physical Plan ==")[1].splitlines() if "hashpartitioning" in line)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 180)] + [(1000, 1000 + i) for i in range(1, 300)] + [(rng.randrange(5000, 6000), rng.randrange(5000, 6000)) for _ in range(600)]
