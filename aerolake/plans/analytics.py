@@ -16,8 +16,8 @@ from aerolake.operators.intervals import few_windows, within_windows
 from aerolake.operators.ordered import Ordered, null_safe_join
 from aerolake.operators.spectrum import dominant_peaks
 from aerolake.plans.health import anomalies, parameters
-from aerolake.plans.timeline import altitude_series, arm_regions, fleet_split, log_span
-from aerolake.session import cut
+from aerolake.plans.timeline import altitude_series, arm_regions, log_span, message_sizes
+from aerolake.session import cut, rows_per_task
 from aerolake.schema import KEY, any_number, number, plain, records
 
 AXIS = [*KEY, "axis"]
@@ -51,19 +51,21 @@ def attitude_errors(telemetry: DataFrame, windows: DataFrame, split: bool | None
 
     Demand and response come from one record, so they pair row by row; only where a demand is
     missing it is interpolated from its neighbours. ``gaps=False`` states that none is missing
-    and leaves that join out; None looks.
+    and leaves that join out; None looks, over all windows and what lies between them, which is one narrow pass.
     """
+    timed = plain(telemetry, "ATT").where(F.col("t").isNotNull())
+    if gaps is None:
+        missing = [any_number(act) & any_number(des) & number(act).isNotNull() & number(des).isNull() for act, des in fixed.ATTITUDE_COLUMNS.values()]
+        gaps = not timed.where(reduce(Column.__or__, missing)).isEmpty()
     axes = F.explode(F.array(*[
         F.struct(F.lit(axis).alias("axis"), number(act).alias("act"), number(des).alias("des"),
                  (any_number(act) & any_number(des)).alias("has"))
         for axis, (act, des) in fixed.ATTITUDE_COLUMNS.items()]))
-    rows = in_windows(plain(telemetry, "ATT").where(F.col("t").isNotNull()), windows, split, few)
+    rows = in_windows(timed, windows, split, few)
     rows = rows.select(*KEY, "seq", "t", axes.alias("_a")).select(*KEY, "seq", "t", "_a.*")
     rows = rows.where("has").drop("has")
     incomplete = rows.where(F.col("act").isNotNull() & F.col("des").isNull())
     paired = rows.where(F.col("act").isNotNull() & F.col("des").isNotNull())
-    if gaps is None:
-        gaps = not incomplete.isEmpty()
     if gaps:
         demands = rows.where(F.col("des").isNotNull())
         filled = interp_clamped(incomplete.drop("des"), demands, AXIS, "t", "des", "seq", out="des", split=split)
@@ -89,10 +91,13 @@ def tracking(errors: DataFrame) -> DataFrame:
 
 
 def stick_series(telemetry: DataFrame, windows: DataFrame, split: bool | None = None,
-                 few: bool | None = None) -> DataFrame:
-    """(log_id, axis, seq, t, stick) of roll, pitch and yaw, for axes with at least 3 readings."""
+                 few: bool | None = None, logs: DataFrame | None = None) -> DataFrame:
+    """(log_id, axis, seq, t, stick) of roll, pitch and yaw, for axes with at least 3 readings.
+
+    ``logs``: the logs that have records with a time, if they are known.
+    """
     config = rc_config(parameters(telemetry), KEY)
-    logs = telemetry.select(*KEY).distinct()
+    logs = telemetry.select(*KEY).distinct() if logs is None else logs
     bare = null_safe_join(logs, config.select(*KEY).distinct(), KEY, "left_anti")
     config = config.unionByName(default_config(bare, KEY)).where(F.col("axis") != "throttle")
     rows = in_windows(plain(telemetry, "RCIN").where(F.col("t").isNotNull()), windows, split, few)
@@ -374,14 +379,15 @@ class FlightAnalytics:
     def __init__(self, telemetry: DataFrame, split: bool | None = None, share: bool = True):
         keep = cut if share else (lambda frame: frame)
         self.telemetry = telemetry
-        self.split = fleet_split(telemetry) if split is None else split
-        self.span = keep(log_span(telemetry))
+        sizes = keep(message_sizes(telemetry))
+        self.split = (sizes.agg(F.max("n")).first()[0] or 0) > rows_per_task(telemetry.sparkSession) if split is None else split
+        self.span = keep(sizes.groupBy(*KEY).agg(F.min("t_first").alias("t_first"), F.max("t_last").alias("t_last")).where(F.col("t_first").isNotNull()))
         self.logs = self.span.select(*KEY)
         self.windows = keep(armed_windows(telemetry, self.span, self.split))
         self.few = few_windows(self.windows, KEY)
         self.totals = keep(armed_totals(self.windows))
         self.errors = keep(attitude_errors(telemetry, self.windows, self.split, few=self.few))
-        self.sticks = keep(stick_series(telemetry, self.windows, self.split, few=self.few))
+        self.sticks = keep(stick_series(telemetry, self.windows, self.split, few=self.few, logs=self.logs))
         self.tracking = keep(tracking(self.errors))
         self.smoothness = keep(smoothness(self.sticks, self.totals, self.split))
         self.yaw = keep(yaw_discipline(self.errors, self.sticks, self.logs))

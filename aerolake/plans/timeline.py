@@ -34,6 +34,11 @@ def log_span(telemetry: DataFrame) -> DataFrame:
     return timed.groupBy(*KEY).agg(F.min("t").alias("t_first"), F.max("t").alias("t_last"))
 
 
+def message_sizes(telemetry: DataFrame) -> DataFrame:
+    """(log_id, msg, n, t_first, t_last): what both ``fleet_split`` and ``log_span`` look for, in one pass."""
+    return telemetry.groupBy(*KEY, "msg").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t_first"), F.max("t").alias("t_last"))
+
+
 def message_range(telemetry: DataFrame) -> DataFrame:
     return telemetry.where(F.col("t").isNotNull()).groupBy(*KEY, "msg", "instance").agg(
         F.min("t").alias("t_min"), F.max("t").alias("t_max"))

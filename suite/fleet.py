@@ -82,6 +82,10 @@ MESSAGES = (
 )
 
 
+#: So many branches read the events as fast as these are written by type.
+FEW_BRANCHES = 4
+
+
 def _map(fields: dict, kind: str) -> str:
     if not fields:
         return f"CAST(map() AS map<string,{kind}>)"
@@ -174,5 +178,11 @@ EVENTS = """events_all AS (
 
 
 def lake(spark: SparkSession, folder: str, *messages: str) -> DataFrame:
-    """The derived telemetry written once, as a fleet's telemetry is, for plans that read it often."""
-    return cut(telemetry(spark, folder, *messages))
+    """The derived telemetry written once, as a fleet's telemetry is, for plans that read it often.
+
+    Every message is a branch that reads the events. For more than a few, they are read once and written in a folder for each
+    type, so that a branch reads its own types only.
+    """
+    if messages and len(messages) <= FEW_BRANCHES:
+        return cut(telemetry(spark, folder, *messages))
+    return cut(records_of(cut(events(spark, folder), "event_type"), *messages))

@@ -50,3 +50,17 @@ def check_query(spark, duck, name):
 @pytest.mark.parametrize("name", SAMPLE)
 def test_query_equals_sql(spark, duck, name):
     check_query(spark, duck, name)
+
+
+def test_lake_reads_the_events_once(spark, monkeypatch):
+    """A lake of many messages has the rows of its branches, which read the events of their types only."""
+    from pyspark.sql import functions as F
+    from suite import fleet
+    from suite.reports import REPORT_MESSAGES
+
+    folder, written = "/root/testdata/sf0.001", []
+    monkeypatch.setattr(fleet, "cut", lambda df, *by, cut=fleet.cut: written.append(df) or cut(df, *by))
+    got, want = fleet.lake(spark, folder, *REPORT_MESSAGES), fleet.telemetry(spark, folder, *REPORT_MESSAGES)
+    assert not any(f.endswith("/events.parquet") for f in written[-1].inputFiles()) and got.dtypes == want.dtypes
+    texts = [sorted(r[0] for r in rows.select(F.to_json(F.struct("*"))).collect()) for rows in (got, want)]
+    assert texts[0] == texts[1] and texts[0]
